@@ -123,5 +123,5 @@ def set_id(s: np.ndarray) -> int:
     """A 64-bit id of a set, whatever the order; 0 is kept for the empty set."""
     if not len(s):
         return 0
-    x = _mix(np.array([_mix(s).sum(dtype=U) + U(len(s)) * U(0x94D049BB133111EB)], U))[0]
-    return int(x.astype(np.int64)) or 1
+    x = (int(_mix(s).sum(dtype=U)) + len(s) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF
+    return int(_mix(np.array([x], U)).view(np.int64)[0]) or 1
