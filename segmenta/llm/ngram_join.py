@@ -87,9 +87,9 @@ def _sets(n_ranges: int) -> object:
             parts = [(r, p) for r, p in enumerate(np.split(t, cut)) if len(p)]
             m = len(parts)
             empty = pa.nulls(m, pa.int64())
-            return pa.RecordBatch.from_arrays([empty, empty, empty, pa.nulls(m, pa.list_(pa.int64())), pa.array([r for r, _ in parts], pa.int32()), pa.array([_packed(p) for _, p in parts], pa.binary())], names)
+            return pa.RecordBatch.from_arrays([empty, empty, empty, pa.nulls(m, pa.list_(pa.int64())), empty, pa.array([r for r, _ in parts], pa.int32()), pa.array([_packed(p) for _, p in parts], pa.binary())], names)
 
-        names = ["id", "sid", "n", "firsts", "r", "body"]
+        names = ["id", "sid", "n", "firsts", "h", "r", "body"]
         for batch in batches:
             sids, ns, firsts = [], [], []
             for _, _, data, offs in slices(batch.column(1)):
@@ -106,7 +106,7 @@ def _sets(n_ranges: int) -> object:
                     yield ranges()
                     pend, held = [], 0
             m = len(batch)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sids, pa.int64()), pa.array(ns, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sids, pa.int64()), pa.array(ns, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), batch.column(2), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         if pend:
             yield ranges()
 
@@ -259,16 +259,16 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, heavy: int = HEAVY) -> DataFrame:
-    """id_col, n_shingles, component_id for every row; see the module's text."""
+    """id_col, n_shingles, component_id, text_hash for every row; see the module's text."""
     spark = ready(docs.sparkSession)
     sc = spark.sparkContext
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id is not null")
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id is not null").withColumn("h", F.xxhash64("text"))
     n_bytes = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_ranges = max(32, int(n_bytes // (6 * RANGE_TOKENS)))
     bits = int(min(MAP_BITS, max(16, math.ceil(math.log2(n_bytes + 2)))))
 
-    got = saved(d.mapInArrow(_sets(n_ranges), "id long, sid long, n long, firsts array<long>, r int, body binary"), "rows")
-    rows = got.filter("id is not null").select("id", "sid", "n", "firsts")
+    got = saved(d.mapInArrow(_sets(n_ranges), "id long, sid long, n long, firsts array<long>, h long, r int, body binary"), "rows")
+    rows = got.filter("id is not null").select("id", "sid", "n", "firsts", "h")
     counts = saved(got.filter("r is not null").select("r", "body").groupBy("r").applyInArrow(_count(bits), "tok long, n long, is_map boolean"), "counts")
 
     repeated = np.zeros(1 << (bits - 6), U)
@@ -340,8 +340,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least_id = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of = saved(named.join(least_id, "root").select("sid", "component_id"), "named")
     drop_saved(prefixes, counts, *tried)
-    out = rows.select("id", "sid", "n").join(of, "sid", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    out = rows.select("id", "sid", "n", "h").join(of, "sid", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("h").alias("text_hash"))
 
 
 def _all(links: list[DataFrame]) -> DataFrame:
@@ -353,14 +353,18 @@ def _all(links: list[DataFrame]) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, that with the least id, with the columns of documents."""
-    keep = jaccard_components(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    # of rows that repeat an id one stays
-    one = docs.join(keep, F.col("doc_id") == F.col("keep_id"), "left_semi").select(*docs.columns)
-    return one.dropDuplicates(["doc_id"])
+    found = saved(jaccard_components(docs), "groups")
+    one = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.*")
+    keep = one.union(found.filter("n_shingles = 0").select("doc_id", "text_hash").distinct()).withColumnsRenamed({"doc_id": "keep_id", "text_hash": "keep_hash"})
+    out = docs.join(keep, (F.col("doc_id") == F.col("keep_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("keep_hash")), "left_semi").select(*docs.columns)
+    # rows that repeat both id and text are copies too
+    if found.groupBy("doc_id").count().filter("count > 1").head(1):
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 SQL = r"""
