@@ -3,7 +3,7 @@
 Everything runs in DataFrame functions: features are expressions over the url, and the
 trees, once grown, are nested conditions. The trees are grown on the driver from
 labelled urls; in the query those are the urls that a rule decides (label 1: block). At
-most TRAIN_ROWS of them, with the smallest hashes of their urls, are used.
+most TRAIN_ROWS of them, a share of the hashes of their rows, are used.
 
 Features: length of url, host and path, depth of the path, labels of the host, share of
 digits in url and path, hyphens of the host, entropy of the host's characters, number
@@ -168,14 +168,18 @@ class UrlModel:
 
 
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> UrlModel:
-    """Grow trees from labelled urls (url, label 0 or 1)."""
+    """Grow trees from labelled urls (url, label 0 or 1, and key, which tells rows with equal urls apart)."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    d = labelled.filter("label is not null").select("url", F.col("label").cast("int").alias("label"), host.alias("host"), path.alias("path"))
+    d = labelled.filter("label is not null").select("url", F.col("label").cast("int").alias("label"), host.alias("host"), path.alias("path"), F.xxhash64("url", "key").alias("h"))
     stats = d.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.count("*").alias("n"), F.sum("label").alias("k")).orderBy(F.desc("n"), "suffix").limit(SUFFIXES).collect()
     share = {r.suffix: (r.k + PRIOR / 2) / (r.n + PRIOR) for r in stats}
     seen = {r.suffix: float(np.log1p(r.n)) for r in stats}
     named = features(F.col("url"), F.col("host"), F.col("path"), share, seen)
-    got = d.withColumn("h", F.xxhash64("url")).orderBy("h", "url").limit(rows).select(*(v.alias(k) for k, v in named.items()), "label").collect()
+    # a share of the hashes that holds about as many rows as the bound, so that no task sends more than its part
+    total = d.count()
+    if total > rows:
+        d = d.filter(F.shiftrightunsigned("h", 32) < int((1 << 32) * 0.95 * rows / total))
+    got = sorted(d.select("h", *(v.alias(k) for k, v in named.items()), "label").collect())
     x = np.array([[r[k] for k in named] for r in got], np.float64).reshape(-1, len(named))
     start, trees = grow_trees(x, np.array([r.label for r in got], np.float64))
     return UrlModel(start, trees, share, seen)
@@ -187,7 +191,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     d = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).withColumns({"host": host_of(url), "path": path_of(url)})
     d = d.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
     if model is None:
-        model = fit(d.filter("hit is not null").select("url", (F.col("hit.verdict") == "block").cast("int").alias("label")))
+        model = fit(d.filter("hit is not null").select("url", (F.col("hit.verdict") == "block").cast("int").alias("label"), F.col("page_id").alias("key")))
     named = features(url, F.col("host"), F.col("path"), model.share, model.seen)
     d = d.withColumns({f"_{k}": v for k, v in named.items()})
     odds = model.log_odds([f"_{k}" for k in named])
