@@ -48,10 +48,10 @@ SHINGLE = 5
 THRESHOLD = 75
 RANDOM_ORDERS = 10
 #: tokens whose counts the rarity order knows; all others count as equally rare
-HEAVY = 2_000_000
+HEAVY = 1_000_000
 #: tokens handed on at once by a task, and tokens that one reduce task counts
-FLUSH = 4_000_000
-RANGE_TOKENS = 2_000_000
+FLUSH = 1_000_000
+RANGE_TOKENS = 1_000_000
 #: log2 bits of the bitmap of repeated tokens, at most (16 MB)
 MAP_BITS = 27
 #: log2 bits of the bitmap of classes to verify (1 MB)
@@ -284,7 +284,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         least = k
     top = many.select("tok", F.floor(F.log2("n") * 2).cast("int").alias("k")).filter(F.col("k") >= least).toArrow()
     order = np.argsort(top.column("tok").to_numpy())
-    klass = np.clip(top.column("k").to_numpy()[order], 0, 63).astype(U)
+    klass = np.clip(top.column("k").to_numpy()[order], 0, 63).astype(np.uint8)
     shared = sc.broadcast((top.column("tok").to_numpy()[order].astype(np.int64).view(U), klass, repeated, bits))
 
     # step 2: hubs of blocks under random orders

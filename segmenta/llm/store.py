@@ -63,5 +63,5 @@ def ready(spark: SparkSession) -> SparkSession:
             f.write(buf.getvalue())
         sc.addPyFile(path)
         sc._segmenta_shipped = True
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return spark
