@@ -268,9 +268,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bits = int(min(MAP_BITS, max(16, math.ceil(math.log2(n_bytes + 2)))))
 
     got = saved(d.mapInArrow(_sets(n_ranges), "id long, sid long, n long, firsts array<long>, h long, r int, body binary"), "rows")
-    rows = got.filter("id is not null").select("id", "sid", "n", "firsts", "h")
+    rows = saved(got.filter("id is not null").select("id", "sid", "n", "firsts", "h"), "ids")
     counts = saved(got.filter("r is not null").select("r", "body").groupBy("r").applyInArrow(_count(bits), "tok long, n long, is_map boolean"), "counts")
 
+    drop_saved(got)
+
     repeated = np.zeros(1 << (bits - 6), U)
     part = counts.filter("is_map").groupBy("tok").agg(F.bit_or("n").alias("n")).toArrow()
     repeated[part.column("tok").to_numpy()] = part.column("n").to_numpy().astype(np.int64).view(U)
@@ -302,6 +304,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prefixes = saved(texts.mapInArrow(_prefixes(shared), "tok long, sid long, n int, place int, b2 int, b3 int").dropDuplicates(["tok", "sid"]), "prefixes")
     for turn in range(HUB_ROUNDS + 1):
         label = components(_all(links))
+        if turn:
+            # blocks whose members were all connected stay so
+            shut, prefixes = prefixes, saved(t.join(blocks.select("tok"), "tok", "left_semi").drop("comp"), "open")
+            drop_saved(shut)
         t = prefixes.join(label.withColumnsRenamed({"node": "sid", "root": "comp"}), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
         # hubs: of the least and greatest component at first, then drawn anew for each block
         rank = F.col("comp") if turn == 0 else F.xxhash64("sid", "tok", F.lit(turn))
@@ -312,25 +318,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             mine = t.join(blocks.select("tok", F.array("first", "last").alias("hubs")), "tok").select("*", F.explode("hubs").alias("y"))
             x, y = mine, "y."
         else:
-            open_ = saved(t.join(blocks.select("tok"), "tok", "left_semi"), "open")
-            x = open_.alias("x").join(open_.select("tok", F.struct("comp", "sid", "n", "place", "b2", "b3").alias("y")), "tok")
+            x = t.join(blocks.select("tok"), "tok", "left_semi").alias("x").join(t.select("tok", F.struct("comp", "sid", "n", "place", "b2", "b3").alias("y")), "tok")
             y = "y."
         need = F.ceil((F.col("n") + F.col(y + "n")) * threshold / (100 + threshold) - 1e-9)
         room = F.least(F.col("n") - F.col("place"), F.col(y + "n") - F.col(y + "place"))  # at most so many tokens in common if this is the first
         fits = (
             (F.col("comp") < F.col(y + "comp") if turn == HUB_ROUNDS else F.col("comp") != F.col(y + "comp"))
             & (100 * F.least("n", y + "n") >= threshold * F.greatest("n", y + "n"))
-            & (room >= need)
+            & ((room >= need) if turn == HUB_ROUNDS else F.lit(True))
             & (F.col("b2").bitwiseAND(F.col(y + "b2")) != 0)
             & (F.col("b3").bitwiseAND(F.col(y + "b3")) != 0)
         )
         pairs = saved(x.filter(fits).select(F.least("sid", y + "sid").alias("a"), F.greatest("sid", y + "sid").alias("b")).distinct().join(_all(tried), ["a", "b"], "left_anti"), "pairs")
-        if turn == HUB_ROUNDS:
-            drop_saved(open_)
         if not pairs.head(1):
             drop_saved(pairs)
-            if turn == HUB_ROUNDS or not blocks.head(1):
-                break
             continue
         links.append(verified(pairs, texts, threshold))
         tried.append(pairs)
