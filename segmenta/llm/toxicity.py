@@ -31,8 +31,8 @@ from .textnp import U, mix, slices, word_hashes, words
 MIN_N, MAX_N = 3, 6
 BITS = 18
 #: the classifier's bound: training texts, and bytes of text among them
-TRAIN_ROWS = 4_000
-TRAIN_BYTES = 48 << 20
+TRAIN_ROWS = 2_500
+TRAIN_BYTES = 12 << 20
 ALPHA = 0.5
 L2 = 2e-4
 STEPS = 80
@@ -107,13 +107,15 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         for k, i in enumerate(new):
             vocab[int(uniq[i])] = base + k
         r, c = _ngrams(*_spelled(data, s[new], e[new]))
-        grams.append((r + base, c))
+        grams.append(((r + base).astype(np.int32), c.astype(np.int32)))
         ids = np.array([vocab[x] for x in uniq.tolist()], np.int64)
         drow.append(row + a)
         dword.append(ids[w])
     drow, dword = np.concatenate(drow), np.concatenate(dword)
     grow, gcol = np.concatenate([g[0] for g in grams]), np.concatenate([g[1] for g in grams])
+    del grams
     used, gcol = np.unique(gcol, return_inverse=True)
+    gcol = gcol.astype(np.int32)
     n, v, f = len(y), len(vocab), len(used)
     size = np.bincount(drow, minlength=n)
     scale = 1 / np.sqrt(np.maximum(size, 1))
