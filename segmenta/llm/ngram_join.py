@@ -203,12 +203,14 @@ def _needed(shared) -> object:
         need = shared.value
         for batch in batches:
             found: dict[int, bytes] = {}
-            for _, _, data, offs in slices(batch.column(0)):
+            # one text of each class is enough, and only texts that may be one are made into sets
+            i = batch.column(1).to_numpy() & ((1 << NEED_BITS) - 1)
+            hit = pa.array((need[i >> 6] >> (i & 63)) & 1 == 1)
+            for _, _, data, offs in slices(batch.column(0).filter(hit)):
                 for s in shingle_sets(data, offs, SHINGLE):
                     if len(s):
                         sid = set_id(s)
-                        i = sid & ((1 << NEED_BITS) - 1)
-                        if need[i >> 3] >> (i & 7) & 1 and sid not in found:
+                        if sid not in found:
                             found[sid] = np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["sid", "body"])
 
@@ -241,16 +243,17 @@ def _linked(threshold: int) -> object:
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """Those distinct pairs of classes (a, b) whose whole sets are similar enough."""
+def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Those distinct pairs of classes (a, b) whose whole sets are similar enough; texts has text and h, classes the h of one text of each sid."""
     spark = pairs.sparkSession
     low = (1 << NEED_BITS) - 1
-    both = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).select(F.col("s").bitwiseAND(low).alias("i"))
+    both = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+    both = classes.select("sid", "h").join(both, "sid", "left_semi").select(F.col("h").bitwiseAND(low).alias("i"))
     words = both.groupBy(F.shiftright("i", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i & 63 as int))")).alias("m")).collect()
     need = np.zeros(1 << (NEED_BITS - 6), np.int64)
     for r in words:
         need[r.w] = r.m
-    shared = spark.sparkContext.broadcast(need.tobytes())
+    shared = spark.sparkContext.broadcast(need)
     sets = saved(texts.mapInArrow(_needed(shared), "sid long, body binary").dropDuplicates(["sid"]), "sets")
     full = pairs.join(sets.select(F.col("sid").alias("b"), F.col("body").alias("sb")), "b").join(sets.select(F.col("sid").alias("a"), F.col("body").alias("sa")), "a")
     out = saved(full.select("a", "b", "sa", "sb").mapInArrow(_linked(threshold), "a long, b long"), "links")
@@ -290,18 +293,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = sc.broadcast((top.column("tok").to_numpy()[order].astype(np.int64).view(U), klass, repeated, bits))
 
     # step 2: hubs of blocks under random orders
-    texts = d.select("text")
-    classes = rows.filter("n > 0").groupBy("sid").agg(F.min("id").alias("rep"), F.first("firsts").alias("firsts"))
+    texts = d.select("text", "h")
+    classes = rows.filter("n > 0").groupBy("sid").agg(F.min("id").alias("rep"), F.min("h").alias("h"), F.first("firsts").alias("firsts"))
     classes = saved(classes, "classes")
     e = classes.select("sid", F.posexplode("firsts").alias("k", "tok"))
     hubs = e.groupBy("k", "tok").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo < hi")
     near = e.join(hubs, ["k", "tok"]).select("k", "sid", F.explode(F.array("lo", "hi")).alias("hub")).filter("sid <> hub")
     near = near.groupBy(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).agg(F.countDistinct("k").alias("c")).filter("c >= 2").select("a", "b")
     near = saved(near, "near")
-    links, tried = [verified(near, texts, threshold)], [near]
+    links, tried = [verified(near, texts, classes, threshold)], [near]
 
     # step 3: prefixes under the rarity orders, pairs of different components only
-    prefixes = saved(texts.mapInArrow(_prefixes(shared), "tok long, sid long, n int, place int, b2 int, b3 int").dropDuplicates(["tok", "sid"]), "prefixes")
+    prefixes = saved(texts.select("text").mapInArrow(_prefixes(shared), "tok long, sid long, n int, place int, b2 int, b3 int").dropDuplicates(["tok", "sid"]), "prefixes")
     for turn in range(HUB_ROUNDS + 1):
         label = components(_all(links))
         if turn:
@@ -333,7 +336,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if not pairs.head(1):
             drop_saved(pairs)
             continue
-        links.append(verified(pairs, texts, threshold))
+        links.append(verified(pairs, texts, classes, threshold))
         tried.append(pairs)
 
     label = components(_all(links)).withColumnsRenamed({"node": "sid"})
