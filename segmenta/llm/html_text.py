@@ -58,6 +58,16 @@ BLOCKS = [
     (2, 0.5, 14, 0.1, 5, 0.0, 1, 0, 1, 1),
     (200, 0.0, 1, 0.0, 6, 1.0, 1, 0, 1, 1),
     (7, 0.0, 1, 1.0, 20, 0.0, 1, 0, 1, 1),
+    (10, 0.0, 30, 0.0, 14, 0.0, 1, 0, 1, 1),
+    (14, 0.0, 8, 0.0, 22, 0.0, 1, 0, 1, 1),
+    (17, 0.1, 22, 0.0, 70, 0.0, 1, 0, 1, 1),
+    (20, 0.0, 120, 0.0, 9, 0.0, 1, 0, 1, 1),
+    (22, 0.0, 3, 0.0, 33, 0.0, 1, 0, 1, 1),
+    (25, 0.6, 41, 0.0, 6, 0.0, 1, 0, 1, 1),
+    (29, 0.0, 55, 0.0, 2, 1.0, 1, 0, 1, 1),
+    (33, 0.0, 7, 0.0, 18, 0.0, 1, 0, 1, 1),
+    (65, 0.9, 90, 0.0, 30, 0.0, 1, 0, 1, 1),
+    (5, 0.0, 75, 0.0, 31, 0.0, 1, 0, 1, 1),
     (6, 0.0, 0, 0.0, 6, 1.0, 1, 1, 1, 0),
     (30, 0.0, 40, 0.0, 30, 0.0, 1, 1, 1, 0),
     (2, 1.0, 40, 0.0, 2, 1.0, 1, 1, 1, 0),
@@ -70,6 +80,12 @@ BLOCKS = [
     (50, 0.0, 70, 0.0, 0, 0.0, 0, 0, 1, 0),
     (3, 1.0, 3, 1.0, 3, 1.0, 0, 0, 1, 0),
     (4, 0.0, 40, 0.0, 9, 0.0, 0, 0, 1, 0),
+    (24, 0.0, 1, 1.0, 7, 0.0, 0, 0, 1, 0),
+    (90, 0.0, 12, 0.0, 33, 0.0, 0, 0, 1, 0),
+    (36, 0.1, 0, 0.0, 20, 0.0, 0, 0, 1, 0),
+    (11, 0.0, 85, 0.0, 4, 0.0, 0, 0, 1, 0),
+    (1, 0.0, 20, 0.0, 60, 0.0, 0, 0, 1, 0),
+    (7, 0.3, 10, 0.0, 0, 0.0, 0, 0, 1, 0),
     (45, 0.0, 40, 0.0, 38, 0.0, 0, 0, 0, 1),
     (30, 0.1, 2, 1.0, 55, 0.0, 0, 0, 0, 1),
     (22, 0.0, 60, 0.0, 3, 1.0, 0, 0, 0, 1),
