@@ -151,7 +151,7 @@ def _scorer(shared) -> object:
         known, value = np.zeros(0, U), np.zeros(0)
         for batch in batches:
             z = np.zeros(len(batch))
-            for a, b, data, offs in slices(batch.column(1), 4 << 20):
+            for a, b, data, offs in slices(batch.column(1)):
                 uniq, s, e, row, w = _distinct(data, offs)
                 i = np.searchsorted(known, uniq)
                 i[i == len(known)] = 0
@@ -159,8 +159,8 @@ def _scorer(shared) -> object:
                 part = np.empty(len(uniq))
                 part[have] = value[i[have]]
                 new = np.flatnonzero(~have)
-                for k in range(0, len(new), 1 << 16):
-                    some = new[k : k + (1 << 16)]
+                for k in range(0, len(new), 1 << 14):
+                    some = new[k : k + (1 << 14)]
                     part[some] = model.words(data, s[some], e[some])
                 if len(known) + len(new) > KEPT_WORDS:
                     known, value = uniq, part
@@ -215,9 +215,15 @@ def _keeper(shared, at: int) -> object:
     run = _scorer(shared)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in run(iter([pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], ["id", "text"])])):
-                yield batch.filter(pa.array(part.column(1).to_numpy() < 0.5))
+        last: list[pa.RecordBatch] = []
+
+        def texts() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                last.append(batch)
+                yield pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], ["id", "text"])
+
+        for part in run(texts()):
+            yield last.pop().filter(pa.array(part.column(1).to_numpy() < 0.5))
 
     return keep
 
