@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .graph import components
-from .store import drop_saved, ready, saved
+from .store import drop_saved, ready, saved, tidied
 from .textnp import U, mix, set_id, shingle_sets, slices
 
 SHINGLE = 5
@@ -75,6 +75,7 @@ def _unpacked(body: bytes) -> np.ndarray:
     return np.cumsum(d.view(np.uint64).reshape(-1)) + np.frombuffer(body, np.uint64, 1)[0]
 
 
+@tidied
 def _sets(n_ranges: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pend: list[np.ndarray] = []
@@ -157,6 +158,7 @@ def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
     return n - -(-threshold * n // 100) + 1
 
 
+@tidied
 def _prefixes(shared) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = Orders(*shared.value)
@@ -198,6 +200,7 @@ def _prefixes(shared) -> object:
     return run
 
 
+@tidied
 def _needed(shared) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         need = shared.value
@@ -223,6 +226,7 @@ def _tokens(body: bytes) -> np.ndarray:
     return out.view(np.uint64).reshape(-1)
 
 
+@tidied
 def _linked(threshold: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, x = None, np.zeros(0, U)

@@ -6,14 +6,21 @@ where that setting is absent (tests on one machine) a temporary folder is set.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import io
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: bytes of an Arrow batch, or one row
+BATCH_BYTES = 1 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder; a fresh temporary one in local mode without the setting."""
@@ -64,4 +71,24 @@ def ready(spark: SparkSession) -> SparkSession:
         sc.addPyFile(path)
         sc._segmenta_shipped = True
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
+
+
+def tidied(factory: Callable) -> Callable:
+    """Functions over batches, made by factory, that give freed memory back when a task ends, as its worker lives on."""
+
+    @functools.wraps(factory)
+    def make(*args: object) -> Callable:
+        run = factory(*args)
+
+        def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pa.set_memory_pool(pa.system_memory_pool())
+            yield from run(batches)
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+        return tidy
+
+    return make

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .store import ready
+from .store import ready, tidied
 from .textnp import U, mix, slices, word_hashes, words
 
 MIN_N, MAX_N = 3, 6
@@ -145,6 +145,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     return Model(out, b)
 
 
+@tidied
 def _scorer(shared) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
