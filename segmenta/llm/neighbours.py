@@ -211,12 +211,21 @@ def recall(v: DataFrame, links: DataFrame, threshold: float, sample: int = SAMPL
 
 
 def _blocks(threshold: float) -> object:
-    """Numbers of links between two blocks of a group, and one linked id for each row."""
+    """Numbers of links between two blocks of a group, and a spanning forest (id, to) of the components that links between them join."""
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
-        ids, side, w = rows.column("id").to_numpy(), rows.column("side").to_numpy(), rows.column("w").to_numpy()
-        out_id, out_n, out_to = [], [], []
+        ids, side, w, comp = (rows.column(c).to_numpy() for c in ("id", "side", "w", "comp"))
+        out_id, out_n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        names, code = np.unique(comp, return_inverse=True)
+        parent = np.arange(len(names))
+        forest: list[tuple[int, int]] = []
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
         sizes = np.array([len(r) for r in rows.column("vec")])
         for d in np.unique(sizes):
             at = np.flatnonzero(sizes == d)
@@ -225,34 +234,37 @@ def _blocks(threshold: float) -> object:
             xp, xq = x[side[at] <= 0], x[side[at] >= 0]
             same = bool((side == 0).any())
             for a in range(0, len(p), 512):
+                mine = p[a : a + 512]
                 s = xp[a : a + 512] @ xq.T >= threshold
                 if same:
-                    s &= ids[p[a : a + 512]][:, None] != ids[q][None, :]
-                out_id.append(ids[p[a : a + 512]])
+                    s &= ids[mine][:, None] != ids[q][None, :]
+                out_id.append(ids[mine])
                 out_n.append(s @ w[q])
-                out_to.append(np.where(s, ids[q][None, :], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max))
                 if not same:
                     out_id.append(ids[q])
-                    out_n.append(w[p[a : a + 512]] @ s)
-                    out_to.append(np.where(s, ids[p[a : a + 512]][:, None], np.iinfo(np.int64).max).min(0, initial=np.iinfo(np.int64).max))
-        if not out_id:
-            return pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "to": pa.array([], pa.int64())})
-        to = np.concatenate(out_to)
-        none = to == np.iinfo(np.int64).max
-        return pa.table({"id": np.concatenate(out_id), "n": np.concatenate(out_n).astype(np.int64), "to": pa.array(to, pa.int64(), mask=none)})
+                    out_n.append(w[mine] @ s)
+                i, j = np.nonzero(s & (code[mine][:, None] != code[q][None, :]))
+                for pair in np.unique(code[mine[i]] * len(names) + code[q[j]]).tolist():
+                    u, v = (root(c) for c in divmod(pair, len(names)))
+                    if u != v:
+                        parent[max(u, v)] = min(u, v)
+                        forest.append((max(u, v), min(u, v)))
+        u, v = (names[np.array([e[k] for e in forest], np.int64)] for k in range(2))
+        n = np.concatenate(out_n).astype(np.int64)
+        return pa.table({"id": np.concatenate([*out_id, u]), "n": np.concatenate([n, np.zeros(len(u), np.int64)]), "to": pa.concat_arrays([pa.nulls(len(n), pa.int64()), pa.array(v, pa.int64())])})
 
     return run
 
 
 def group_counts(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(id, n, to) of members (grp, id, w, vec): weights of links within the group, summed, and a linked id."""
+    """(id, n, to) of members (grp, comp, id, w, vec): rows without to have weights of links within the group, summed; those with to join two components, of which comp is the least id."""
     sizes = members.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     m = members.join(sizes, "grp").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     # a row goes to every pair of blocks that its block is part of
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    m = m.select("grp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.signum(F.col("mine") - F.col("other")).cast("int").alias("side"), "id", "w", "vec")
+    m = m.select("grp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.signum(F.col("mine") - F.col("other")).cast("int").alias("side"), "comp", "id", "w", "vec")
     got = m.groupBy("grp", "i", "j").applyInArrow(_blocks(threshold), "id long, n long, to long")
-    return got.groupBy("id").agg(F.sum("n").alias("n"), F.min("to").alias("to"))
+    return got.groupBy("id", "to").agg(F.sum("n").alias("n")).select("id", "n", "to")
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, k: int = K, target: float = TARGET) -> DataFrame:
@@ -290,7 +302,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     marked = saved(full.join(label, full.id == label.node).select("root").distinct(), "saturated")
     extra = None
     if marked.head(1):
-        inside = v.join(label, v.id == label.node).join(marked, "root").select(F.col("root").alias("grp"), "id", "w", "vec")
+        inside = v.join(label, v.id == label.node).join(marked, "root").select(F.col("root").alias("grp"), F.col("root").alias("comp"), "id", "w", "vec")
         inside = saved(inside, "inside")
         centre = inside.select("grp", F.posexplode("vec").alias("i", "x")).groupBy("grp", "i").agg(F.sum("x").alias("x")).groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c"))
         centre = centre.select(F.col("grp").alias("id"), F.lit(1).cast("long").alias("w"), F.transform("c", lambda c: c.x).alias("vec")).filter(usable(F.col("vec")))
@@ -304,7 +316,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     counted = links.join(weight, "b").groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("n"))
     edges = links
     if extra is not None:
-        counted = counted.join(extra.select("id", F.col("n").alias("m")), "id", "full").select("id", F.greatest(F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))).alias("n"))
+        counted = counted.join(extra.filter("to is null").select("id", F.col("n").alias("m")), "id", "full").select("id", F.greatest(F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))).alias("n"))
         edges = links.union(extra.filter("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b")))
     label = components(edges).withColumnsRenamed({"node": "id"})
     of = classes.join(counted, "id", "left").join(label, "id", "left")

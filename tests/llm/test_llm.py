@@ -89,6 +89,13 @@ def test_neighbours_saturated(spark):
     assert [got[i] for i in range(150)] == links.tolist()
 
 
+def test_neighbours_groups_with_crossed_ids(spark):
+    # 1-10 and 5-20 fill their lists of one; 10-20 alone joins the groups, and neither end has it as its least link
+    rows = [(i, [math.cos(math.radians(a)), math.sin(math.radians(a))]) for i, a in ((1, 0), (10, 19), (20, 40), (5, 59))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=1).collect()}
+    assert got == {1: (1, 1), 10: (2, 1), 20: (2, 1), 5: (1, 1)}
+
+
 def test_lm_base_against_brute_force(spark, odd):
     for docs in (spark.read.parquet(f"{SF}/documents.parquet"), odd):
         rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
