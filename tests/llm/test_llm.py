@@ -5,6 +5,7 @@ import html
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 from zlib import crc32
 
@@ -110,6 +111,16 @@ def test_lm_base_against_brute_force(spark, odd):
         assert all(r.score <= 0 and math.isfinite(r.score) for r in got)
 
 
+def test_lm_counts_beyond_int32():
+    # three parts whose sum is above 2 ** 32, in the largest and in the smallest context
+    for k in (0, lm.CONTEXTS - 1):
+        size = 2 * min(lm.CHUNK, 1 << lm.SIZES[k])
+        parts = [np.arange(size, dtype=np.int64) + 1_500_000_000 for _ in range(3)]
+        rows = pa.table({"chunk": pa.array([k * 256] * 3, pa.int32()), "part": pa.array([0, 1, 2]), "grp": pa.array([0, 0, 0]), "body": pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())})
+        total = np.frombuffer(zlib.decompress(lm._add_up(rows).column("body")[0].as_py()), np.int64)
+        assert total.tolist() == sum(parts).tolist()
+
+
 def test_lm_beats_words(spark):
     got = [r for r in QUERIES["op3_lm_scoring"](spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
