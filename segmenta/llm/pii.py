@@ -27,12 +27,41 @@ ROUNDS = 8
 
 # Formats of personal data.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
-PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\d)"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-CARD = r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)"
+#: digits after the country code, where a country has one length only
+PHONE_DIGITS = {8: "45 47", 9: "31 33 34 41 48 61 351 420 421", 10: "1 7 30 44 52 90 91"}
+#: characters of an IBAN by country
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+
+
+def _either(names: str) -> str:
+    return f"(?:{names.replace(' ', '|')})"
+
+
+def _phone(codes: str, n: int) -> str:
+    digit = r"(?:[ .-](?=\d\d))?\d"
+    area = "|".join(rf"\(\d{{{k}}}\)(?:{digit}){{{n - k}}}" for k in (2, 3, 4))
+    return rf"{_either(codes)}[ .-]?(?:{area}|\d(?:{digit}){{{n - 1}}})(?!\d)"
+
+
+def _iban(lands: str, n: int) -> str:
+    whole, rest = divmod(n - 4, 4)
+    return rf"{_either(lands)}\d{{2}}(?: ?[A-Z0-9]{{4}}){{{whole}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "") + "(?![A-Za-z0-9])"
+
+
+# the known lengths first, so that a neighbour is not taken in
+PHONE = r"(?<![\w+])\+(?:" + "|".join(_phone(c, n) for n, c in PHONE_DIGITS.items()) + r"|\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}(?!\d))"
+IBAN = r"(?<![A-Za-z0-9])(?:" + "|".join(_iban(c, n) for n, c in IBAN_LENGTHS.items()) + r"|[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 IPV4 = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
 DATE = r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/.]\d{1,2}[/.]\d{4})(?![\w/-]|\.\d)"
+# a run of numbers that holds a card, up to a number that begins another format; see readings
+_OTHER = r"\d{3}-\d{2}-\d{4}(?![\w-])|\d{4}-\d{2}-\d{2}(?![\w/-])|\d{1,2}[/.]\d{1,2}[/.]\d{4}(?!\w)|\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
+CARD = rf"(?<![\w.])(?=\d(?:[ -]?\d){{12}})\d++(?!\w)(?:(?: (?!{_OTHER})|-)\d++(?!\w))*+"
+#: numbers a card is written in, the usual ones first
+CARD_SHAPES = (r"\d{13,19}", r"\d{4}([ -]\d{4}){3}", r"\d{4}[ -]\d{6}[ -]\d{5}", r"\d{4}[ -]\d{6}[ -]\d{4}", r"\d{6}[ -]\d{13}", r"\d{4}([ -]\d{4}){3}[ -]\d{1,3}")
 ANY = "|".join((EMAIL, PHONE, IBAN, SSN, DATE, IPV4, CARD))
 
 _FIRST_DAY, _DAYS = "1900-01-01", 73_049
@@ -137,6 +166,56 @@ def kind_of(v: Column) -> Column:
     )
 
 
+def _is_card(v: Column) -> Column:
+    core = F.regexp_replace(v, "[^0-9]", "")
+    return F.length(core).between(13, 19) & ~core.rlike(r"^(\d)\1*$") & (_luhn(core) == 0)
+
+
+def _cards(v: Column) -> Column:
+    """A run of numbers cut at the cards in it: the usual shapes wherever they stand, else the longest 13 to 19 digits at the start of what is left."""
+    numbers = F.regexp_extract_all(v, F.lit(r"\d+[ -]?"), 0)
+
+    def reading(window: Column, shapes: tuple[str, ...]) -> Column:
+        return F.get(F.filter(F.transform(F.array(*(F.regexp_extract(window, rf"^(?:{x})(?!\d)", 0) for x in shapes)), lambda c: F.when((c != "") & _is_card(c), c)), lambda c: c.isNotNull()), F.lit(0))
+
+    usual = F.transform(numbers, lambda _, i: reading(F.array_join(F.slice(numbers, i + 1, 5), ""), CARD_SHAPES))
+    both = F.zip_with(numbers, usual, lambda n, u: F.struct(n.alias("number"), u.alias("usual")))
+    count = lambda c: F.size(F.split(c, "[ -]"))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("skip"))
+
+    def put(a: Column, x: Column) -> Column:
+        tail = lambda n: F.regexp_extract(n, "[ -]$", 0)
+        inside = F.struct(F.when(a.skip == 1, F.concat(a.out, F.array(tail(x["number"])))).otherwise(a.out).alias("out"), (a.skip - 1).alias("skip"))
+        one = F.struct(F.concat(a.out, F.array(x["usual"], tail(x["number"]))).alias("out"), F.lit(0).alias("skip"))
+        more = F.struct(F.concat(a.out, F.array(x["usual"])).alias("out"), (count(x["usual"]) - 1).alias("skip"))
+        plain = F.struct(F.concat(a.out, F.array(x["number"])).alias("out"), F.lit(0).alias("skip"))
+        return F.when(a.skip > 0, inside).when(x["usual"].isNull(), plain).when(count(x["usual"]) == 1, one).otherwise(more)
+
+    cut = F.aggregate(both, start, put, lambda a: a.out)
+    odd = F.regexp_extract(v, r"^\d(?:[ -]?\d){12,18}(?!\d)", 0)
+    rest = F.substring(v, F.length(odd) + 1, F.length(v))
+    return F.when(F.exists(usual, lambda c: c.isNotNull()), cut).when(_is_card(odd), F.array(odd, rest)).otherwise(F.array(v))
+
+
+def _ibans(v: Column) -> Column:
+    """An IBAN and what follows it, where the whole match is none but its first words are."""
+    words = F.split(v, " ")
+    lengths = F.create_map(*(F.lit(x) for n, lands in IBAN_LENGTHS.items() for land in lands.split() for x in (land, n)))
+
+    def good(c: Column) -> Column:
+        core = F.regexp_replace(c, " ", "")
+        return F.length(core).between(15, 34) & (_mod97(core) == 1) & F.coalesce(F.try_element_at(lengths, F.substring(core, 1, 2)) == F.length(core), F.lit(True))
+
+    first = F.get(F.filter(F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(words, 1, k), " ")), good), F.lit(0))
+    return F.when(kind_of(v).isNotNull() | first.isNull(), F.array(v)).otherwise(F.array(first, F.substring(v, F.length(first) + 1, F.length(v))))
+
+
+def readings(v: Column) -> Column:
+    """A match cut into pieces, each a value or not; joined they are the match."""
+    single = v.rlike(r"^(?:\d{3}-\d{2}-\d{4}|(?:\d{1,3}\.){3}\d{1,3}|\d{4}-\d{2}-\d{2}|\d{1,2}[/.]\d{1,2}[/.]\d{4})$") | v.contains("@") | v.startswith("+")
+    return F.when(single, F.array(v)).when(v.rlike("^[A-Z]"), _ibans(v)).otherwise(_cards(v))
+
+
 def _parts(v: Column) -> tuple[Column, Column]:
     """(year-month-day as text, whether the month stands first) of a date in any of the formats."""
     p = F.split(v, "[-/.]")
@@ -192,10 +271,10 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Dat
     text = F.col(text_col)
     # a text without a digit or an @ holds none of the formats
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
-    d = docs.withColumn("_found", found)
-    d = d.withColumn("_kinds", F.filter(F.transform("_found", kind_of), lambda k: k.isNotNull()))
+    d = docs.withColumn("_found", F.transform(found, readings))
+    d = d.withColumn("_kinds", F.filter(F.transform(F.flatten("_found"), kind_of), lambda k: k.isNotNull()))
     gaps = F.split(text, ANY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(gaps, F.transform("_found", lambda v: pseudonym(v, key)), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    joined = F.array_join(F.flatten(F.zip_with(gaps, F.transform("_found", lambda vs: F.array_join(F.transform(vs, lambda v: pseudonym(v, key)), "")), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     return (
         d.withColumn(text_col, F.when(F.size("_kinds") > 0, joined).otherwise(text))
         .withColumn("pii_kinds", F.array_sort(F.array_distinct("_kinds")))

@@ -234,6 +234,18 @@ def test_pii(spark):
     assert again[1].n_pii == 8  # pseudonyms pass the validation of their format
 
 
+def test_pii_beside_other_numbers(spark):
+    card, spaced, iban, phone = "4111111111111111", "4111 1111 1111 1111", "ES9121000418450200051332", "+1 (316) 555-2121"
+    texts = [f"{card} 123", f"12 {card}", f"{card}", f"{spaced} 20 EUR", f"{iban} EN", f"{iban}", f"{phone} 20", f"{phone}", f"1 2 3 {spaced} 2024-02-29", f"{phone} {spaced}", f"{iban} {spaced}", "12 34 56 78 90 12 34 56 78 90"]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    new, new_iban, new_phone = got[2], got[5], got[7]
+    new_spaced = " ".join(new[i : i + 4] for i in range(0, 16, 4))
+    assert new != card and new_iban != iban and new_phone != phone
+    assert got[:2] == [f"{new} 123", f"12 {new}"] and got[3] == f"{new_spaced} 20 EUR" and got[4] == f"{new_iban} EN" and got[6] == f"{new_phone} 20"
+    assert got[8].startswith(f"1 2 3 {new_spaced} ") and not got[8].endswith("2024-02-29")
+    assert got[9] == f"{new_phone} {new_spaced}" and got[10] == f"{new_iban} {new_spaced}" and got[11] == texts[11]
+
+
 def test_pii_is_one_to_one(spark):
     from pyspark.sql import functions as F
 
