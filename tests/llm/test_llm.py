@@ -112,13 +112,144 @@ def test_lm_base_against_brute_force(spark, odd):
 
 
 def test_lm_counts_beyond_int32():
-    # three parts whose sum is above 2 ** 32, in the largest and in the smallest context
-    for k in (0, lm.CONTEXTS - 1):
-        size = 2 * min(lm.CHUNK, 1 << lm.SIZES[k])
-        parts = [np.arange(size, dtype=np.int64) + 1_500_000_000 for _ in range(3)]
-        rows = pa.table({"chunk": pa.array([k * 256] * 3, pa.int32()), "part": pa.array([0, 1, 2]), "grp": pa.array([0, 0, 0]), "body": pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())})
-        total = np.frombuffer(zlib.decompress(lm._add_up(rows).column("body")[0].as_py()), np.int64)
-        assert total.tolist() == sum(parts).tolist()
+    # three parts whose sum is above 2 ** 32, and their pairs in 16 bits
+    parts = [np.arange(2 * lm.CHUNK, dtype=np.int64) + 1_500_000_000 for _ in range(3)]
+    rows = pa.table({"kind": pa.array([0] * 3, pa.int32()), "h": pa.array([0, 1, 2]), "grp": pa.array([0, 0, 0]), "body": pa.array([zlib.compress(x.tobytes(), 1) for x in parts], pa.binary())})
+    total = np.frombuffer(zlib.decompress(lm._add_up(rows).column("body")[0].as_py()), np.int64)
+    assert total.tolist() == sum(parts).tolist()
+    small = lm.narrow(np.array([[0, 3, 1, 65535, 1 << 40, 5], [0, 4, 1 << 33, 65536, 1 << 39, 0]]))
+    assert small[:, :3].tolist() == [[0, 3, 1], [0, 4, 32768]] and small[0, 4] == 2 * small[1, 4] and small[:, 5].tolist() == [5, 0]
+
+
+@pytest.mark.parametrize("flush", [1, 2, 3, 5, 1000])
+def test_lm_gather_at_the_flush_bound(flush):
+    texts = ["a b c", "a b", "", "c c c", "b"]
+    batches = [pa.RecordBatch.from_arrays([pa.array([t])], ["text"]) for t in texts]
+    rows = [r for b in lm._gather(10, flush)(iter(batches)) for r in b.to_pylist()]
+    got = Counter()
+    for r in rows:
+        if r["kind"] == -2:
+            got[r["body"]] += r["n"]
+    assert got == Counter(x for t in texts for x in re.findall(rb"[^ \0]*[ \0]", t.encode() + b"\0"))
+    assert [r["n"] for r in rows if r["kind"] == -1] == [5]
+
+
+def _tiny_scorer(words, seed=3):
+    """A scorer of tables without shared slots, and its counts as plain dictionaries."""
+    rng = np.random.default_rng(seed)
+    data = "".join(words).encode()
+    size = np.array([len(w) for w in words])
+    e = np.cumsum(size)
+    buf = np.frombuffer(data, np.uint8)
+    w, j, ph, bounds = lm.spelled(buf, e - size, e)
+    n = np.repeat(np.arange(1, len(words) + 1), np.diff(bounds))
+    sums = [np.zeros((2, 1 << 18), np.int64) for _ in range(lm.CONTEXTS)]
+    for k, c in enumerate(sums):
+        lm.count_bits(k, w, j, ph, n, c)
+    plain = defaultdict(lambda: [0, 0])
+    for m, word in enumerate(words, 1):
+        for i, x in enumerate(word.encode()):
+            node = 1
+            for bit in f"{x:08b}":
+                for k, c in enumerate(_contexts(word.encode(), i)):
+                    plain[k, c, node][int(bit)] += m
+                node = 2 * node + int(bit)
+    model = lm.Model()
+    model.w = rng.random(model.w.shape) / 2
+    for k, c in enumerate(sums):
+        model.see_counts(k, c)
+    model.learn_states()
+    st = [np.round(1000 * model.stretched(k, c[0], c[1])).astype(np.int16) for k, c in enumerate(sums)]
+    val, cnt = np.zeros(1 << 10, np.uint64), np.zeros(1 << 10, np.uint16)
+    return lm.Scorer(st, lm.tiers(sums[-1].sum(0), True), lm.tiers(sums[-2].sum(0), False), val, cnt, model), plain
+
+
+def _contexts(word, i):
+    return [(word[max(0, i - k) : i], min(i, k)) for k in lm.ORDERS] + [word[:i]]
+
+
+def _bits_of(scorer, words):
+    size = np.array([len(w) for w in words])
+    e = np.cumsum(size)
+    return scorer.fresh(np.frombuffer(b"".join(words), np.uint8), e - size, e)
+
+
+def test_lm_bits_against_brute_force():
+    words = ["the ", "then ", "a ", "ab ", "abba\0", "zebra ", "the\0"]
+    scorer, plain = _tiny_scorer(words)
+    model = scorer.model
+    for word in (b"the ", b"them ", b"zz ", b"abbb\0"):
+        bits = 0.0
+        for i, x in enumerate(word):
+            node = 1
+            for place, bit in zip(range(7, -1, -1), f"{x:08b}", strict=True):
+                pair = [plain.get((k, c, node), [0, 0]) for k, c in enumerate(_contexts(word, i))]
+                st = [float(model.stretched(k, np.array([a]), np.array([b]))[0]) for k, (a, b) in enumerate(pair)]
+                whole, before = (int(lm.tiers(np.array([sum(pair[k])]), k == 5)[0]) for k in (5, 4))
+                x1 = sum(a * b for a, b in zip(st, model.w[(whole * 3 + before) * 8 + place], strict=True))
+                at = min(max(x1 * 1.5 + lm.LEVELS / 2, 0), lm.LEVELS - 1e-6)
+                f = at - int(at)
+                p = 0.5 * (1 / (1 + math.exp(-x1)) + model.map[node, int(at)] * (1 - f) + model.map[node, int(at) + 1] * f)
+                bits += math.log2(p if bit == "1" else 1 - p)
+                node = 2 * node + int(bit)
+        assert abs(_bits_of(scorer, [word])[0] - bits) < 0.02
+
+
+def test_lm_is_a_distribution():
+    scorer, _ = _tiny_scorer(["the ", "then ", "a ", "ab ", "abba\0", "zebra "])
+    for before in (b"", b"t", b"th", b"q"):
+        p = np.exp2(_bits_of(scorer, [before + bytes([x]) for x in range(256)]))
+        all_of = np.exp2(_bits_of(scorer, [before])[0]) if before else 1.0
+        assert abs(p.sum() / all_of - 1) < 1e-9
+
+
+def test_lm_learning_lowers_the_loss():
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("etaoin") for _ in range(rng.randrange(2, 6))) + " " for _ in range(400)})
+    size = np.array([len(w) for w in words])
+    e = np.cumsum(size)
+    buf = np.frombuffer("".join(words).encode(), np.uint8)
+    w, j, ph, bounds = lm.spelled(buf, e - size, e)
+    n = np.repeat(rng.choices([1, 1, 2, 9], k=len(words)), np.diff(bounds))
+    sums = [np.zeros((2, 1 << 16), np.int64) for _ in range(lm.CONTEXTS)]
+    for k, c in enumerate(sums):
+        lm.count_bits(k, w, j, ph, n, c)
+    model = lm.Model()
+    counts = [lm.narrow(c) for c in sums]
+
+    def loss():
+        total = 0.0
+        for bit, node, n0, n1, gate in lm._walk(w, j, ph, counts):
+            st = np.stack([model.stretched(k, n0[k], n1[k]) for k in range(lm.CONTEXTS)], 1)
+            p, _, _ = model.refined(np.einsum("ij,ij->i", st, model.w[gate]), node)
+            total -= (n * np.log2(np.where(bit == 1, p, 1 - p))).sum()
+        return total
+
+    first = loss()
+    for k, c in enumerate(sums):
+        model.see_counts(k, c)
+    model.learn_states()
+    second = loss()
+    for _ in range(30):
+        model.learn(w, j, ph, n, counts, 0.02)
+    assert loss() < second < first
+
+
+def test_lm_empty_and_repeated(spark, none):
+    assert lm.score_texts(none).count() == 0
+    # 5 is the only id: crc32 decides whether anything is in training
+    for i in (5, 2):
+        rows = spark.createDataFrame([(i, "one two"), (i, "one two"), (i, None)], "doc_id long, text string")
+        got = lm.score_texts(rows).collect()
+        held = crc32(str(i).encode()) % 10 == 0
+        assert len(got) == 3 and {r.held_out for r in got} == {held} and all(math.isfinite(r.score) for r in got)
+        assert {r.train_tokens for r in got} == ({0} if held else {7})
+
+
+def test_lm_all_held_out(spark):
+    held = [i for i in range(200) if crc32(str(i).encode()) % 10 == 0]
+    got = lm.score_texts(spark.createDataFrame([(i, "some words here") for i in held], "doc_id long, text string")).collect()
+    assert {(r.n_tokens, r.n_known, r.train_tokens) for r in got} == {(4, 0, 0)} and all(math.isfinite(r.score) for r in got)
 
 
 def test_lm_beats_words(spark):
