@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .store import ready
+from .store import ready, tidied
 from .textnp import ALNUM, LOWER, U, runs, slices, word_hashes, words
 
 WINDOW = 13
@@ -100,6 +100,7 @@ class Windows:
         return out
 
 
+@tidied
 def _counter(shared) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = {g: Lookup(k) for g, k in shared.value.items()}
@@ -118,7 +119,8 @@ def _counter(shared) -> object:
     return run
 
 
-def _hits(shared, id_type: pa.DataType) -> object:
+@tidied
+def _hits(shared) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, flat, begin, tables, names = shared.value
         for batch in batches:
@@ -155,7 +157,7 @@ def _hits(shared, id_type: pa.DataType) -> object:
                     items[a + r].extend(names[w])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).cast(id_type),
+                    batch.column(0),
                     batch.column(2),
                     pa.array(n_words),
                     pa.array([[{"lo": x, "hi": y} for x, y in s] for s in spans], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))),
@@ -167,14 +169,13 @@ def _hits(shared, id_type: pa.DataType) -> object:
     return run
 
 
-def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id_col, n_words, spans of hit words, items as sorted strings), a row for each document."""
+def _found(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, h, n_words, spans, items), a row for each document; h is the text's hash, ids of any type stay as they are."""
     spark = ready(docs.sparkSession)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     its = items.filter(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
     n_blocks = 1 + int((its.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes)
     id_type = d.schema["id"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
     parts = []
     for k in range(n_blocks):
         block = Windows([(r.i, r.t) for r in its.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == k).collect()], window)
@@ -186,7 +187,7 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
         sizes = np.array([len(w) for w in block.words], np.int64)
         flat = np.concatenate(block.words) if block.words else np.zeros(0, U)
         shared = spark.sparkContext.broadcast((sizes, flat, np.cumsum(sizes) - sizes, block.prefixes(counts), [sorted(x) for x in block.items]))
-        parts.append(d.mapInArrow(_hits(shared, arrow), f"id {id_type}, h long, n_words long, spans array<struct<lo:long,hi:long>>, items array<string>"))
+        parts.append(d.mapInArrow(_hits(shared), f"id {id_type}, h long, n_words long, spans array<struct<lo:long,hi:long>>, items array<string>"))
     out = parts[0]
     if n_blocks > 1:
         for p in parts[1:]:
@@ -194,13 +195,16 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
         # each row came once from every block; rows that repeat with id and text stay as many as they were
         out = out.groupBy("id", "h", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count("*").alias("k"))
         out = out.withColumn("k", F.explode(F.sequence(F.lit(1), (F.col("k") / n_blocks).cast("int"))))
-    out = out.select("id", "n_words", "spans", "items")
-    return out.withColumnRenamed("id", id_col)
+    return out.select("id", "h", "n_words", "spans", "items")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, min_share: int = 20, **names) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and min_share * n_hit >= n_words)."""
-    h = hits(docs, items, **names)
+def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **names) -> DataFrame:
+    """(id_col, n_words, spans of hit words, items as sorted strings), a row for each document."""
+    return _found(docs, items, id_col=id_col, **names).drop("h").withColumnRenamed("id", id_col)
+
+
+def _judged(h: DataFrame, min_share: int) -> DataFrame:
+    """Rows of _found with n_hit, n_items, items_sha256 and contaminated."""
     # spans sorted by start: a word counts once even where spans of several blocks overlap
     covered = F.aggregate(
         F.array_sort("spans"),
@@ -209,7 +213,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, min_share: int = 20, **name
         lambda acc: acc.n,
     )
     return h.select(
-        names.get("id_col", "doc_id"),
+        "id",
+        "h",
         "n_words",
         covered.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
@@ -217,11 +222,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, min_share: int = 20, **name
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (min_share * F.col("n_hit") >= F.col("n_words")))
 
 
+def decontaminate(docs: DataFrame, items: DataFrame, min_share: int = 20, id_col: str = "doc_id", **names) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and min_share * n_hit >= n_words)."""
+    return _judged(_found(docs, items, id_col=id_col, **names), min_share).drop("h").withColumnRenamed("id", id_col)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated, with the columns of documents."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("bad_id"))
-    return docs.join(bad, F.col("doc_id") == F.col("bad_id"), "left_anti").select(*docs.columns)
+    """Documents that are not contaminated, with all columns they came with.
+
+    Rows are judged one by one: of rows that share an id only those with a contaminated text
+    go, all rows that repeat id and text with them. Rows without an id are judged like any
+    other; null, empty and wordless texts stay; no documents give no rows.
+    """
+    bad = _judged(_found(docs, table(spark, sf_dir, "benchmark")), 20).filter("contaminated").select(F.col("id").alias("_bad_id"), F.col("h").alias("_bad_h")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_bad_h")), "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

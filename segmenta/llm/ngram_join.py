@@ -266,7 +266,7 @@ def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, threshold:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, heavy: int = HEAVY) -> DataFrame:
-    """id_col, n_shingles, component_id, text_hash for every row; see the module's text."""
+    """id_col, n_shingles, component_id, text_hash, group_hash (the least class of the component) for every row; see the module's text."""
     spark = ready(docs.sparkSession)
     sc = spark.sparkContext
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id is not null").withColumn("h", F.xxhash64("text"))
@@ -346,10 +346,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     label = components(_all(links)).withColumnsRenamed({"node": "sid"})
     named = classes.select("sid", "rep").join(label, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least_id = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = saved(named.join(least_id, "root").select("sid", "component_id"), "named")
+    of = saved(named.join(least_id, "root").select("sid", "component_id", "root"), "named")
     drop_saved(prefixes, counts, *tried)
     out = rows.select("id", "sid", "n", "h").join(of, "sid", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("h").alias("text_hash"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("h").alias("text_hash"), F.col("root").alias("group_hash"))
 
 
 def _all(links: list[DataFrame]) -> DataFrame:
@@ -360,19 +360,25 @@ def _all(links: list[DataFrame]) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, that with the least id, with the columns of documents."""
+    """One document of each group, that with the least id, with all columns documents came with.
+
+    Null, empty and blank texts are linked with nothing and stay, a row for each id and text;
+    of rows that repeat id and text one stays. Rows without an id stay as they are, as no
+    group can name them; no documents give no rows.
+    """
     found = saved(jaccard_components(docs), "groups")
-    one = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.*")
-    keep = one.union(found.filter("n_shingles = 0").select("doc_id", "text_hash").distinct()).withColumnsRenamed({"doc_id": "keep_id", "text_hash": "keep_hash"})
-    out = docs.join(keep, (F.col("doc_id") == F.col("keep_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("keep_hash")), "left_semi").select(*docs.columns)
+    # by the group itself, as texts of different groups may share an id
+    one = found.filter("n_shingles > 0").groupBy("group_hash").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.*")
+    keep = one.union(found.filter("n_shingles = 0").select("doc_id", "text_hash").distinct()).withColumnsRenamed({"doc_id": "_keep_id", "text_hash": "_keep_hash"})
+    out = docs.join(keep, (docs["doc_id"] == F.col("_keep_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_keep_hash")), "left_semi").select(*docs.columns)
     # rows that repeat both id and text are copies too
     if found.groupBy("doc_id").count().filter("count > 1").head(1):
         out = out.dropDuplicates(["doc_id", "text"])
-    return out
+    return out.union(docs.filter("doc_id is null"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents")).drop("text_hash")
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("text_hash", "group_hash")
 
 
 SQL = r"""

@@ -284,9 +284,18 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Dat
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """documents with pseudonyms in place of personal data; n_chars follows the text."""
-    out = pseudonymise(docs.select("doc_id", "text", "lang", "source", "n_chars"))
-    return out.select("doc_id", "text", "lang", "source", F.when(F.col("n_pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    """Documents with pseudonyms in place of personal data, with all columns they came with.
+
+    n_chars, where there is such a column, follows a rewritten text. Every row stays: null
+    stays null, texts without any of the formats stay as they are, rows that repeat are
+    rewritten alike whatever their id; no documents give no rows.
+    """
+    made = ("pii_kinds", "n_pii")
+    held = {c: f"_of_{c}" for c in made if c in docs.columns}
+    out = pseudonymise(docs.withColumnsRenamed(held))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_pii") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.drop(*made).withColumnsRenamed({v: k for k, v in held.items()}).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,7 +230,12 @@ def _keeper(shared, at: int) -> object:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic, with the columns of documents."""
+    """Documents that are not predicted toxic (score below 0.5), with all columns they came with.
+
+    Null and empty texts have the score of the model's bias alone; rows that repeat share
+    their score; rows without an id are scored like any other; without labels, or with
+    labels of one class, the share of label 1 decides; no documents give no rows.
+    """
     ready(spark)
     model = train(docs, table(spark, sf_dir, "labels"))
     shared = spark.sparkContext.broadcast((model.weights, model.bias))

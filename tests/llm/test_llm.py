@@ -385,6 +385,29 @@ def test_pii_is_one_to_one(spark):
     assert spark.range(1 << 12).select(pii.permute_number(F.col("id"), 6, 6, "k", "x").alias("p")).distinct().count() == 1 << 12
 
 
+def test_stages_with_odd_rows(spark):
+    import corpus_pipeline as cp
+
+    passage = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(i, t, "xx", None, 1, "clash", 7) for i, t in ODD] + [(9, passage, None, "s", 2, None, 8), (9, "clean text of the same id", None, "s", 2, None, 8), (None, passage, None, "s", 2, None, 8), (10, "call +1 555 010 9999 or a@b.org", None, "s", 2, None, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, pii_kinds string, h int")
+    empty = spark.createDataFrame([], docs.schema)
+    kept = {}
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and stage(spark, empty, SF).count() == 0
+        kept[name] = Counter((r.doc_id, r.text) for r in out.collect())
+    every = Counter((r[0], r[1]) for r in rows)
+    assert set(kept["toxicity"]) <= set(every)
+    # 5 and 6 have equal sets, 4 is there twice; rows without an id stay
+    assert kept["near_duplicates"] == Counter(set(every)) - Counter([(6, "A b C d e f g h")])
+    assert every - kept["decontamination"] == Counter([(9, passage), (None, passage)])
+    changed = kept["pii"] - every
+    assert sum(kept["pii"].values()) == len(rows) and [i for i, _ in changed] == [10] and "a@b.org" not in next(iter(changed))[1]
+    coded = cp.STAGES[-1][1](spark, docs, SF)
+    assert coded.count() == len(rows) and coded.filter("not lossless").count() == 0 and cp.STAGES[-1][1](spark, empty, SF).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
