@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .store import ready
+from .store import ready, tidied
 
 # Elements by their role.
 BLOCK_TAGS = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
@@ -254,6 +254,7 @@ def main_text(page: str | None, grown: tuple | float) -> str:
     return " ".join(kept)
 
 
+@tidied
 def _extractor(grown: tuple | float) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

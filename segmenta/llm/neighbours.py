@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .graph import components
-from .store import ready, saved
+from .store import ready, saved, tidied
 
 THRESHOLD = 0.9
 K = 12
@@ -68,6 +68,7 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x / np.sqrt((x * x).sum()) for x in rows], pa.list_(pa.float64()))], ["id", "w", "vec"])
 
 
+@tidied
 def _cells(round_no: int, bits: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,6 +131,7 @@ def start(v: DataFrame, n: int, rounds: range, k: int = K) -> DataFrame:
     return saved(_top(out, k), "start")
 
 
+@tidied
 def _around(k: int) -> object:
     """Compare all neighbours of one vector; rows come sorted by that vector."""
 
@@ -181,6 +183,7 @@ def refine(v: DataFrame, graph: DataFrame, fresh: DataFrame, k: int = K) -> Data
     return saved(_top(graph.union(better), k), "graph")
 
 
+@tidied
 def _compare(shared) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x, threshold = shared.value

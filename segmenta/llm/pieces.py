@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .store import ready
+from .store import ready, tidied
 from .textnp import U, mix, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -40,8 +40,7 @@ RANK_SHIFT = 2.7
 SPACE = 0x2581
 #: stands for a U+2581 of the text itself, which is no space
 _ESCAPED = 0x10FFFF + 1
-SLICE = 2 << 20
-MAX_LEN = 16
+SLICE = 1 << 20
 
 _B = 0x5851F42D4C957F2D
 _BI = pow(_B, -1, 1 << 64)
@@ -52,9 +51,10 @@ class Vocabulary:
 
     def __init__(self, pieces: list[str], kinds: list[int], ranks: np.ndarray):
         """kinds: 0 normal, 1 byte, 2 neither."""
-        normal = [i for i, k in enumerate(kinds) if k == 0 and pieces[i] and len(pieces[i]) <= MAX_LEN]
+        normal = [i for i, k in enumerate(kinds) if k == 0 and pieces[i]]
         chars = np.frombuffer("".join(pieces[i] for i in normal).encode("utf-32-le"), np.uint32)
-        size = np.array([len(pieces[i]) for i in normal])
+        size = np.array([len(pieces[i]) for i in normal], np.int64)
+        self.longest = int(size.max(initial=1))
         ends = np.cumsum(size)
         h = _range_hashes(_prefix(chars), ends - size, ends)
         order = np.argsort(h)
@@ -127,9 +127,9 @@ class Lattices:
         place = np.arange(n) - np.repeat(bounds[:-1], size) + 1
         c = _prefix(chars)
         ends, lens, ids, logs = [], [], [], []
-        pos = np.arange(1, n + 1)
+        pos = np.arange(1, n + 1, dtype=np.int32)
         scale = 1.0 if alpha is None else alpha
-        for k in range(1, MAX_LEN + 1):
+        for k in range(1, v.longest + 1):
             at = pos[place >= k]
             if not len(at):
                 break
@@ -141,19 +141,21 @@ class Lattices:
                 n_bytes = 1 + (utf > 0x7F) + (utf > 0x7FF) + (utf > 0xFFFF)
                 n_bytes = np.where(utf == _ESCAPED, 3, n_bytes)
                 ends.append(at)
-                lens.append(np.full(len(at), 1))
-                ids.append(np.where(hit, i1, -1 - utf.astype(np.int64)))
+                lens.append(np.full(len(at), 1, np.int16))
+                ids.append(np.where(hit, i1, -1 - utf.astype(np.int64)).astype(np.int32))
                 logs.append(np.where(hit, -scale * np.log(v.rank[np.maximum(i, 0)] + RANK_SHIFT), -scale * n_bytes * np.log(v.byte_rank + RANK_SHIFT)))
             else:
                 at, i = at[hit], i[hit]
                 ends.append(at)
-                lens.append(np.full(len(at), k))
-                ids.append(v.ids[i])
+                lens.append(np.full(len(at), k, np.int16))
+                ids.append(v.ids[i].astype(np.int32))
                 logs.append(-scale * np.log(v.rank[i] + RANK_SHIFT))
+        del c, pos
         end = np.concatenate(ends)
         # by place in the unit, so that all units move on together; then by end
-        order = np.lexsort((end, place[end - 1]))
+        order = np.lexsort((end, place[end - 1])).astype(np.int32)
         self.end, self.len, self.id, log = end[order], np.concatenate(lens)[order], np.concatenate(ids)[order], np.concatenate(logs)[order]
+        del end, order, ends, lens, ids, logs
         first = np.flatnonzero(np.concatenate(([True], self.end[1:] != self.end[:-1])))
         self.begin = np.zeros(n + 2, np.int64)
         self.begin[self.end[first]] = first
@@ -250,6 +252,7 @@ def encode_slice(v: Vocabulary, data: np.ndarray, offs: np.ndarray, keys: np.nda
     return ids, np.searchsorted(unit_row[occ], np.arange(m + 1))
 
 
+@tidied
 def _encoder(shared, alpha: float | None, seed: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
@@ -279,6 +282,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     return d.mapInArrow(_encoder(shared, alpha, seed), "id long, ids array<int>, n_pieces long, lossless boolean").withColumnRenamed("id", id_col)
 
 
+@tidied
 def _decoder(shared) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
@@ -298,7 +302,11 @@ def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_pieces, lossless."""
+    """doc_id, ids, n_pieces, lossless for every document that came.
+
+    Null and empty texts have no pieces; rows without an id are drawn as those of id 0;
+    rows that repeat id and text repeat their pieces; no documents give no rows.
+    """
     return encode(docs)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .store import ready, saved
+from .store import ready, saved, tidied
 from .textnp import LOWER, NOT_BLANK, U, mix, slices, word_hashes, words
 
 MIN_SENTENCES = 2
@@ -83,6 +83,7 @@ def spans(h: np.ndarray, begin: np.ndarray, rows: np.ndarray, min_words: int = M
     return i, j, mix((c[b] - c[a]) * inv[a] + (b - a).astype(U) * U(0x94D049BB133111EB))
 
 
+@tidied
 def _hashes(repeated) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if repeated is None else repeated.value

@@ -45,12 +45,15 @@ def drop_saved(*frames: DataFrame) -> None:
     """Remove the folders of saved tables that no later plan reads."""
     for df in frames:
         spark = df.sparkSession
-        jvm, root = spark.sparkContext._jvm, f"{shared_dir(spark)}/segmenta/"
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/segmenta")
+        root = root.getFileSystem(conf).makeQualified(root)
         for f in df.inputFiles()[:1]:
-            if "/segmenta/" in f:
-                path = jvm.org.apache.hadoop.fs.Path(f).getParent()
-                if "/segmenta/" in path.toString() and root:
-                    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path = jvm.org.apache.hadoop.fs.Path(f).getParent()
+            fs = path.getFileSystem(conf)
+            # only folders that saved() made, right below the root
+            if fs.makeQualified(path).getParent().toString() == root.toString():
+                fs.delete(path, True)
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -84,10 +87,12 @@ def tidied(factory: Callable) -> Callable:
 
         def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.set_memory_pool(pa.system_memory_pool())
-            yield from run(batches)
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            try:
+                yield from run(batches)
+            finally:
+                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+                if trim is not None:
+                    trim(0)
 
         return tidy
 
