@@ -2,16 +2,19 @@
 
 A page is read as a row of blocks, the text between the borders of block elements.
 Each block has its number of words and its link density (the share of its words in
-links), those of the block before and after it, and three marks: whether it stands in
-an article or main element, whether it stands in a part that is no text (menu, header,
-footer, sidebar, notice, advert, form, reader comments, by element, role, class or id),
-and whether the page has an article or main element at all. A decision tree over these
-features is grown from a small labelled table (BLOCKS) when a query starts.
+links), those of the block before and after it, and marks: whether it stands in an
+article or main element, in an element or role that is no text (menu, header, footer,
+sidebar, form), in a part that is named as none (class or id), whether the page has an
+article or main element at all, whether it stands in an element of prose (2), of a list
+(1) or another one (0), and whether that other one is a part with a class or id of its
+own. A decision tree over these features is grown, when a query starts, from the blocks
+of a small set of labelled pages (LABELLED).
 
 Scripts, styles, titles, templates and comments are no blocks. Character references are
 decoded, white space in a block becomes one space, blocks are joined in page order by
-one space. Broken markup is read as far as it goes: elements may stay open, stray "<"
-are text, an unclosed script or comment takes the rest.
+one space. Broken markup is read as far as it goes, in time linear in the page: elements
+may stay open (a link ends with the element it stands in), stray "<" are text, an
+unclosed script or comment takes the rest, an unclosed tag is text.
 
 Defined results: null and empty pages, and pages without text blocks, give an empty
 text; pages of any length are read whole; repeated rows give equal texts; further columns
@@ -20,9 +23,13 @@ are ignored.
 
 from __future__ import annotations
 
+import functools
 import html
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -47,86 +54,57 @@ NO_TEXT_WORDS = frozenset(
 )
 MAIN_WORDS = frozenset("article content main post entry story articlebody".split())
 
-#: words, link density, the same of the block before and after, in main, in no text, page has main, is main text
-# The labelled table, one row for each block.
-BLOCKS = [
-    (40, 0.0, 35, 0.0, 50, 0.0, 1, 0, 1, 1),
-    (3, 0.0, 0, 0.0, 40, 0.0, 1, 0, 1, 1),
-    (1, 0.0, 60, 0.0, 0, 0.0, 1, 0, 1, 1),
-    (12, 1.0, 30, 0.0, 25, 0.0, 1, 0, 1, 1),
-    (80, 0.2, 9, 0.0, 0, 0.0, 1, 0, 1, 1),
-    (2, 0.5, 14, 0.1, 5, 0.0, 1, 0, 1, 1),
-    (200, 0.0, 1, 0.0, 6, 1.0, 1, 0, 1, 1),
-    (7, 0.0, 1, 1.0, 20, 0.0, 1, 0, 1, 1),
-    (10, 0.0, 30, 0.0, 14, 0.0, 1, 0, 1, 1),
-    (14, 0.0, 8, 0.0, 22, 0.0, 1, 0, 1, 1),
-    (17, 0.1, 22, 0.0, 70, 0.0, 1, 0, 1, 1),
-    (20, 0.0, 120, 0.0, 9, 0.0, 1, 0, 1, 1),
-    (22, 0.0, 3, 0.0, 33, 0.0, 1, 0, 1, 1),
-    (25, 0.6, 41, 0.0, 6, 0.0, 1, 0, 1, 1),
-    (29, 0.0, 55, 0.0, 2, 1.0, 1, 0, 1, 1),
-    (33, 0.0, 7, 0.0, 18, 0.0, 1, 0, 1, 1),
-    (65, 0.9, 90, 0.0, 30, 0.0, 1, 0, 1, 1),
-    (5, 0.0, 75, 0.0, 31, 0.0, 1, 0, 1, 1),
-    (6, 0.0, 0, 0.0, 6, 1.0, 1, 1, 1, 0),
-    (30, 0.0, 40, 0.0, 30, 0.0, 1, 1, 1, 0),
-    (2, 1.0, 40, 0.0, 2, 1.0, 1, 1, 1, 0),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 1, 0),
-    (1, 0.0, 1, 1.0, 30, 0.0, 0, 1, 1, 0),
-    (25, 0.0, 1, 1.0, 12, 0.0, 0, 1, 1, 0),
-    (60, 0.0, 45, 0.0, 0, 0.0, 0, 1, 1, 0),
-    (14, 0.1, 80, 0.0, 0, 0.0, 0, 1, 1, 0),
-    (18, 0.0, 1, 1.0, 8, 0.0, 0, 0, 1, 0),
-    (50, 0.0, 70, 0.0, 0, 0.0, 0, 0, 1, 0),
-    (3, 1.0, 3, 1.0, 3, 1.0, 0, 0, 1, 0),
-    (4, 0.0, 40, 0.0, 9, 0.0, 0, 0, 1, 0),
-    (24, 0.0, 1, 1.0, 7, 0.0, 0, 0, 1, 0),
-    (90, 0.0, 12, 0.0, 33, 0.0, 0, 0, 1, 0),
-    (36, 0.1, 0, 0.0, 20, 0.0, 0, 0, 1, 0),
-    (11, 0.0, 85, 0.0, 4, 0.0, 0, 0, 1, 0),
-    (1, 0.0, 20, 0.0, 60, 0.0, 0, 0, 1, 0),
-    (7, 0.3, 10, 0.0, 0, 0.0, 0, 0, 1, 0),
-    (45, 0.0, 40, 0.0, 38, 0.0, 0, 0, 0, 1),
-    (30, 0.1, 2, 1.0, 55, 0.0, 0, 0, 0, 1),
-    (22, 0.0, 60, 0.0, 3, 1.0, 0, 0, 0, 1),
-    (120, 0.05, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
-    (12, 0.0, 40, 0.0, 30, 0.0, 0, 0, 0, 1),
-    (6, 0.0, 2, 0.5, 48, 0.0, 0, 0, 0, 1),
-    (4, 0.0, 35, 0.0, 42, 0.0, 0, 0, 0, 1),
-    (9, 0.0, 50, 0.0, 22, 0.1, 0, 0, 0, 1),
-    (16, 0.0, 5, 0.0, 0, 0.0, 0, 0, 0, 1),
-    (18, 0.2, 20, 0.0, 16, 0.0, 0, 0, 0, 1),
-    (40, 0.0, 2, 1.0, 4, 0.0, 0, 0, 0, 1),
-    (25, 0.0, 1, 1.0, 3, 0.0, 0, 0, 0, 1),
-    (60, 0.1, 0, 0.0, 2, 1.0, 0, 0, 0, 1),
-    (33, 0.0, 3, 0.0, 1, 1.0, 0, 0, 0, 1),
-    (19, 0.0, 2, 0.5, 12, 0.0, 0, 0, 0, 1),
-    (90, 0.0, 5, 1.0, 8, 0.0, 0, 0, 0, 1),
-    (28, 0.1, 4, 0.0, 0, 0.0, 0, 0, 0, 1),
-    (5, 0.0, 1, 1.0, 3, 1.0, 0, 0, 0, 0),
-    (6, 0.1, 2, 0.0, 4, 0.0, 0, 0, 0, 0),
-    (3, 0.0, 1, 1.0, 7, 0.0, 0, 0, 0, 0),
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0),
-    (5, 0.9, 1, 1.0, 40, 0.0, 0, 0, 0, 0),
-    (20, 0.8, 3, 1.0, 15, 0.9, 0, 0, 0, 0),
-    (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0),
-    (4, 0.0, 3, 0.0, 5, 1.0, 0, 0, 0, 0),
-    (2, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0),
-    (3, 0.0, 4, 0.5, 0, 0.0, 0, 0, 0, 0),
-    (35, 0.6, 40, 0.0, 30, 0.0, 0, 0, 0, 0),
-    (8, 0.7, 45, 0.0, 6, 0.8, 0, 0, 0, 0),
-    (40, 0.0, 30, 0.0, 25, 0.0, 0, 1, 0, 0),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0),
-    (12, 0.0, 1, 1.0, 50, 0.0, 0, 1, 0, 0),
-    (9, 0.0, 60, 0.0, 0, 0.0, 0, 1, 0, 0),
+PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dd dt td th caption summary".split())
+LIST_TAGS = frozenset(("li",))
+
+# The labelled pages. +n stands for about n words of main text, -n for about n other words, and
+# +w and -w for any number of words from 1 to 150: there only the place says what the block is.
+LABELLED = [
+    "<nav><ul><li><a>-1</a></li><li><a>-2</a></li><li><a>-1</a></li></ul></nav><div class=ad>-w</div><article><h1>+w</h1><p>+w</p><p>+w</p><p>+w</p></article><footer>-w</footer>",
+    "<nav><ul><li><a>-1</a></li></ul></nav><div class=ad>-w</div><article><h1>+w</h1><p>+w<br><p>+w</p><p>+w<br><p>+w</p></article><footer>-w <a>-2</a></footer>",
+    "<header>-w <a>-2</a></header><main><h1>+1</h1><p>+w</p><p>+w<br>+w<p>+w</p><ul><li>+w</li><li>+9 <a>+2</a></li></ul><p>+w</p></main><aside><h3>-2</h3><p>-w</p></aside><footer>-w</footer>",
+    "<div class=menu><a>-1</a> <a>-1</a></div><article><p>+w</p><div class=advert>-w</div><p>+w</p><blockquote>+w</blockquote><section id=comments><p>-w</p><p>-w</p></section></article>",
+    "<article><h2>+w</h2><p>+40 <a>+2</a></p><div class=x1>-5</div><p>+w</p><div class=x2>-7</div><p>+w</p></article><div>-w</div>",
+    "<main><p>+w</p><div class=x3>-4 <a>-2</a></div><p>+w</p><div class=x4><a>-3</a></div><div class=x5>+45</div><div id=x6>+28</div></main><div class=x7>-w</div>",
+    "<article><div>+w</div><div>+w</div><div>+8</div><div class=body>+70</div><div class=x8>-6</div></article><p>-w</p><div>-w</div>",
+    "<main><h1>+w</h1><p>+w</p><h3>-2</h3><ul><li><a>-4</a></li><li><a>-6</a></li><li><a>-5</a></li></ul></main><div class=related><a>-8</a></div>",
+    "<article><p>+w</p><ul><li><a>+3</a></li></ul><p>+w</p><p><a>+2</a></p><p>+w</p><p>+2 <a>+9</a></p><p>+w</p></article><div>-w</div><div>-w</div>",
+    "<article><table><tr><th>+w</th><td>+w</td></tr><tr><td>+1</td><td>+w</td></tr></table><p>+w</p><pre>+w</pre><form>-w</form><p>+w</p></article><p class=notice>-w</p>",
+    "<div class=top><a>-1</a> <a>-1</a> <a>-2</a></div><h1>+w</h1><p>+w</p><p>+w</p><p>+30 <a>+1</a></p><p>+w</p><div class=x9>-4</div><div class=foot>-6 <a>-2</a></div>",
+    "<div><a>-1</a></div><div><a>-2</a></div><div>+60</div><div>+4</div><div>+35</div><div class=ad>-w</div><div>-3 <a>-3</a></div>",
+    "<h2>+w</h2><p>+w</p><p>+w</p>",
+    "<p>+w</p><p>+w</p><div class=y1>-5</div><p>+w</p>",
+    "<ul><li><a>-1</a></li><li><a>-2</a></li><li><a>-1</a></li></ul><p>+w</p><ul><li>+5</li><li>+12</li><li>+6 <a>+1</a></li></ul><p>+w</p><h4>-2</h4><ul><li><a>-5</a></li><li><a>-4</a></li></ul>",
+    "<div class=y2>-2</div><div class=y3><a>-4</a></div><div class=y4>+90</div><div class=y5>+24</div><div class=y6>-3</div>",
+    "<header><h1>-w</h1></header><div id=y7><h2>+w</h2><p>+w</p><p>+w</p></div><div class=sidebar><h3>-2</h3><p>-w</p><p>-w</p></div><footer><p>-w</p></footer>",
+    "<div class=cookie><p>-w</p></div><p>+w</p><p>+w</p><p><a>-3</a></p><p><a>-2</a></p><p><a>-6</a></p>",
+    "<table><tr><td>+w</td></tr><tr><td>+w</td></tr></table><div>-2 <a>-4</a></div><div class=y8>-8</div>",
+    "<section><h2>+w</h2>+25</section><section>+30</section><div class=share><a>-1</a></div><div><a>-2</a> <a>-2</a> -1</div>",
+    "<main><div class=y9>+24</div><div class=z1>-8</div><section>+w</section><section>+w</section><div class=z2>-9</div><p>+w</p></main>",
+    "<main><p>+w</p></main><div class=z8>-w</div><section>-w</section>",
+    "<article><h1>+w</h1></article><div class=z3>-w</div><p>-w</p><ul><li>-w</li></ul>",
+    "<div><a>-2</a></div><p>+10 <a>+4</a></p><p><a>-3</a> <a>-2</a></p><div>-4 <a>-5</a></div><div>-20 <a>-25</a></div>",
+    "<article><p>+w</p><div class=z4>-1</div><div class=z5><p>+w</p></div><div class=z6><a>-7</a></div><p>+w</p></article><div class=z7>-w</div>",
+    "+w",
+    "+w<br>+w<br>+w",
+    "<a>-1</a> <a>-2</a> <a>-1</a><br>+40<br>+w<br>+25",
+    "<article>+w<br>+w<br>+w</article>",
+    "<main><div>+w</div><div>+w</div></main>",
+    "<article><ul><li>+w</li><li>+w</li><li>+w</li></ul><div>+w</div></article>",
+    "<main><div class=k1><div>+w</div><div>+w</div></div><div class=k2>-6</div></main><div class=k3>-w</div>",
+    "<div class=k4>-3</div><div class=k5><div>+60</div><div>+w</div><div>+45</div></div><div class=k6>-5</div>",
 ]
+#: how often each labelled page is written out, each time with other numbers of words
+VARIANTS = 24
+MIN_LEAF = 4
 
-_TAG = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_COMMENT_END = re.compile(r"--!?>")
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 6) -> tuple | float:
+def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 6, least: int = 1) -> tuple | float:
     """A tree of (feature, threshold, at most, above) with shares of label 1 at its leaves, by Gini gain."""
     share = float(labels.mean())
     if depth == 0 or share in (0.0, 1.0):
@@ -137,19 +115,37 @@ def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 6) -> tuple | float:
         values = np.unique(rows[:, f])
         for t in (values[1:] + values[:-1]) / 2:
             left = rows[:, f] <= t
+            if min(left.sum(), (~left).sum()) < least:
+                continue
             gain = gini(labels) - gini(labels[left]) - gini(labels[~left])
             if gain > best[0] + 1e-12:
                 best = (gain, f, float(t))
     if best[1] is None:
         return share
     left = rows[:, best[1]] <= best[2]
-    return best[1], best[2], grow(rows[left], labels[left], depth - 1), grow(rows[~left], labels[~left], depth - 1)
+    return best[1], best[2], grow(rows[left], labels[left], depth - 1, least), grow(rows[~left], labels[~left], depth - 1, least)
 
 
+def labelled() -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels (1: main text) of the blocks of the labelled pages."""
+    rows, labels = [], []
+    draw = random.Random(7)
+
+    def some(m: re.Match) -> str:
+        n = 150 ** draw.random() if m[2] == "w" else int(m[2]) * draw.uniform(0.75, 1.3)
+        return " ".join(m[1] * max(1, round(n)))
+
+    for page in LABELLED * VARIANTS:
+        found = blocks(re.sub(r"([+-])(\d+|w)", some, page))
+        rows += features(found)
+        labels += [b.text[0] == "+" for b in found]
+    return np.array(rows, np.float64), np.array(labels, np.float64)
+
+
+@functools.cache
 def tree() -> tuple | float:
-    """The tree grown from the labelled table."""
-    data = np.array(BLOCKS, np.float64)
-    return grow(data[:, :-1], data[:, -1])
+    """The tree grown from the labelled pages."""
+    return grow(*labelled(), depth=12, least=MIN_LEAF)
 
 
 def is_text(node: tuple | float, row: tuple) -> bool:
@@ -158,9 +154,9 @@ def is_text(node: tuple | float, row: tuple) -> bool:
     return node >= 0.5
 
 
-def _marks(tag: str, attrs: str) -> tuple[bool, bool]:
-    """(main, no text) of an element by its name, role, class and id."""
-    main, out = tag in MAIN_TAGS, tag in NO_TEXT_TAGS
+def _marks(tag: str, attrs: str) -> tuple[bool, bool, bool, bool]:
+    """(main, no text, named as no text, has a class or id) of an element by its name, role, class and id."""
+    main, out, named, own = tag in MAIN_TAGS, tag in NO_TEXT_TAGS, False, False
     if attrs and not out:
         for name, value in _ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'")
@@ -168,90 +164,152 @@ def _marks(tag: str, attrs: str) -> tuple[bool, bool]:
                 out = True
             elif name == "role":
                 main, out = main or value.lower() == "main", out or value.lower() in NO_TEXT_ROLES
-            elif value and tag not in ("body", "html"):
+            elif name in ("class", "id") and value and tag not in ("body", "html"):
+                own = True
                 names = {w.lower() for w in _CAMEL.findall(value)}
-                out = out or (not main and bool(names & NO_TEXT_WORDS))
-                main = main or (not out and (value.lower() in MAIN_WORDS or "articlebody" in value.lower()))
-    return main, out
-
-
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
-    """(text, words, words in links, in main, in no text) of each block of a page."""
-    found: list[tuple[str, int, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
+                named = named or (not main and bool(names & NO_TEXT_WORDS))
+                main = main or (not named and (value.lower() in MAIN_WORDS or "articlebody" in value.lower()))
+    return main, out, named, own
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closing, attributes) of each tag; comments and declarations have no name.
+
+    Every search that fails is not made again further on, so a page is passed over a
+    constant number of times.
+    """
+    at, last_end = 0, page.rfind(">")
+    last_quote = {q: page.rfind(q) for q in "\"'"}
+    while 0 <= (start := page.find("<", at)) < last_end or (start >= 0 and page.startswith("<!--", start)):
+        at = start + 1
+        if page.startswith("<!--", start):
+            short = next((x for x in ("<!-->", "<!--->") if page.startswith(x, start)), None)
+            end = _COMMENT_END.search(page, start + 4) if not short else None
+            at = start + len(short) if short else end.end() if end else len(page)
+            yield start, at, "", False, ""
+        elif page.startswith(("<!", "<?"), start):
+            at = page.find(">", start) + 1
+            yield start, at, "", False, ""
+        elif m := _NAME.match(page, start + 1):
+            a = end = m.end()
+            # the first > outside of quotes; quotes that never close are plain characters
+            while True:
+                stop = page.find(">", end)
+                quote = min((i for i in (page.find(q, end, stop) for q in "\"'") if i >= 0), default=-1) if stop >= 0 else -1
+                if quote < 0 or last_quote[page[quote]] <= quote:
+                    break
+                close = page.find(page[quote], quote + 1)
+                if close > last_end:
+                    break
+                end = close + 1
+            at = (stop if stop >= 0 else page.find(">", a)) + 1
+            name = m[0].lower()
+            yield start, at, name.lstrip("/"), name[0] == "/", page[a : at - 1]
+
+
+class Block(NamedTuple):
+    """A block's text, words, words in links, and where it stands."""
+
+    text: str
+    words: int
+    linked: int
+    main: bool
+    out: bool
+    named: bool
+    prose: int
+    own: bool
+
+
+def blocks(page: str) -> list[Block]:
+    """The blocks of a page, in order."""
+    found: list[Block] = []
+    # (tag, in main, in no text, in a part named as none, prose, has a class or id of its own)
+    outside = ("", False, False, False, 0, False)
+    stack = [outside]
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
     linked: list[str] = []
-    in_link = False
-    main = out = False
+    link_depth = 0
+    here = outside
     at = 0
 
     def close() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                found.append((text, text.count(" ") + 1, len(html.unescape(" ".join(linked)).split()), main, out))
+                _, main, out, named, prose, own = here
+                n = text.count(" ") + 1
+                found.append(Block(text, n, min(n, len(html.unescape(" ".join(linked)).split())), main, out, named, prose, own and not prose))
             parts.clear()
             linked.clear()
 
-    def add(text: str) -> None:
-        if text:
-            parts.append(text)
-            if in_link:
-                linked.append(text)
+    def pop() -> None:
+        nonlocal link_depth
+        open_tags[stack.pop()[0]] -= 1
+        if link_depth > len(stack):
+            link_depth = 0
 
-    while m := _TAG.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+    for start, end, tag, closing, attrs in tags(page):
+        if start < at:
+            continue
+        if start > at:
+            parts.append(page[at:start])
+            if link_depth:
+                linked.append(page[at:start])
+        at = end
         if not tag:
             continue
-        closing, attrs = m[1], m[3]
         if tag in RAW_TAGS and not closing:
             if not attrs.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                past = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                at = past.end() if past else len(page)
             continue
         if tag in BLOCK_TAGS:
             close()
         if tag == "a":
-            in_link = not closing
+            link_depth = 0 if closing else len(stack)
         if tag in VOID_TAGS:
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
+            if open_tags[tag]:
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
+                # an element inside a line ends no block, unless the place changes with it
+                if stack[-1][1:] != here[1:]:
                     close()
-                    del stack[k:]
-                    break
         elif tag in BLOCK_TAGS or attrs:
-            if tag in BLOCK_TAGS and stack and stack[-1][0] == "p":
-                stack.pop()
-            if tag == "li" and stack and stack[-1][0] == "li":
-                stack.pop()
-            mine, none = _marks(tag, attrs)
-            base_main, base_out = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            if none and not base_out:
+            if tag in BLOCK_TAGS and stack[-1][0] == "p":
+                pop()
+            if tag == "li" and stack[-1][0] == "li":
+                pop()
+            main, out, named, own = _marks(tag, attrs)
+            _, in_main, in_out, in_named, prose, in_own = stack[-1]
+            if (out and not in_out) or (named and not in_named):
                 close()
-            stack.append((tag, base_main or mine, base_out or none))
+            if tag in BLOCK_TAGS:
+                prose, in_own = 2 if tag in PROSE_TAGS else 1 if tag in LIST_TAGS else 0, own
+            stack.append((tag, in_main or main, in_out or out, in_named or named, prose, in_own))
+            open_tags[tag] += 1
         else:
             continue
-        main, out = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-    add(page[at:])
+        here = stack[-1]
+    parts.append(page[at:])
     close()
     return found
 
 
+def features(found: list[Block]) -> list[tuple]:
+    """The tree's features of each block of a page."""
+    has_main = any(b.main and not b.out and not b.named for b in found)
+    rate = [(0, 0.0), *((b.words, b.linked / b.words) for b in found), (0, 0.0)]
+    return [(*rate[i + 1], *rate[i], *rate[i + 2], b.main, b.out, b.named, has_main, b.prose, b.own) for i, b in enumerate(found)]
+
+
 def main_text(page: str | None, grown: tuple | float) -> str:
     """The blocks that the tree takes for text, joined."""
     found = blocks(page) if page else []
-    has_main = any(b[3] and not b[4] for b in found)
-    rate = [(b[1], min(1.0, b[2] / b[1])) for b in found]
-    kept = []
-    for i, b in enumerate(found):
-        before, after = rate[i - 1] if i else (0, 0.0), rate[i + 1] if i + 1 < len(rate) else (0, 0.0)
-        if is_text(grown, (*rate[i], *before, *after, b[3], b[4], has_main)):
-            kept.append(b[0])
-    return " ".join(kept)
+    return " ".join(b.text for b, row in zip(found, features(found), strict=True) if is_text(grown, row))
 
 
 @tidied

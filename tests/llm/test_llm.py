@@ -5,6 +5,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from zlib import crc32
@@ -309,6 +310,57 @@ def test_pages():
     assert html_text.main_text(None, grown) == "" and html_text.main_text("", grown) == "" and html_text.main_text("<p", grown) is not None
 
 
+#: pages that no labelled page looks like, and their main text
+HELD_OUT_PAGES = [
+    ("<body><div id='top'><a href='/'>Home</a> | <a href='/n'>News</a> | <a href='/c'>Contact</a></div><h1>Rain over the valley</h1><p>It rained for nine days, and the river rose by two metres before the bridge gave way.</p><p>Nobody was hurt.</p><div class='bottom'>Copyright by us</div></body>", "Rain over the valley It rained for nine days, and the river rose by two metres before the bridge gave way. Nobody was hurt."),
+    ("<main><h1>On bread</h1><p>Flour, water and salt are enough.</p><div class='cta-box'>Buy now at our shop</div><p>Bake it hot, and let it rest for an hour.</p></main><div class='legal'>All rights reserved</div>", "On bread Flour, water and salt are enough. Bake it hot, and let it rest for an hour."),
+    ("<table><tr><td><p>The old town hall was sold last week to a school that needs more rooms.</p><p>It will open in May.</p></td></tr></table><div class='links'><a href=1>more</a> <a href=2>older posts</a></div>", "The old town hall was sold last week to a school that needs more rooms. It will open in May."),
+    ("<div role=navigation><ul><li><a>One</a><li><a>Two</a></ul></div><div role=main><h2>Two short paragraphs</h2><p>First.</p><p>Second, with <a href=x>a link</a> in it and some more words.</p></div><div role=contentinfo>Imprint</div>", "Two short paragraphs First. Second, with a link in it and some more words."),
+    ("<p>Only this</p><p>and that</p>", "Only this and that"),
+    ("<article><h1>List of things</h1><ul><li>a spade for the garden</li><li>rope</li><li>two lamps</li></ul><p>Bring them all.</p><div class='promo'>Get ten per cent off your next order today</div></article><p>Read also what others wrote about gardens in the spring of last year.</p>", "List of things a spade for the garden rope two lamps Bring them all."),
+    ("<header><p>The Daily Something</p></header><section><h2>Storm</h2><p>Trees fell on the road to the coast, and trains stood still until noon.</p></section><section><p>Repairs go on.</p></section><form><p>Write to us</p><textarea>text</textarea></form><aside><p>Most read this week</p></aside>", "Storm Trees fell on the road to the coast, and trains stood still until noon. Repairs go on."),
+    ("<article><p>Text before the notice.</p><div class='cookie-banner'><p>This site keeps cookies on your machine to know you again when you come back.</p></div><p>Text after it.</p><section class='comments'><p>I liked this text, thank you for it, and please go on.</p></section></article>", "Text before the notice. Text after it."),
+    ("<article><pre>x = 1\ny = 2</pre><p>Two lines &amp; no more.</p><div class='box-7'><a href=a>Next page</a></div></article>", "x = 1 y = 2 Two lines & no more."),
+    ("just text, no markup at all", "just text, no markup at all"),
+]
+
+
+def test_pages_held_out():
+    right = [html_text.main_text(page, html_text.tree()) == want for page, want in HELD_OUT_PAGES]
+    print(right)
+    assert sum(right) >= 0.9 * len(right), right
+
+
+def test_pages_tree_reads_words_and_links():
+    # the same place, told apart by length and by links alone
+    page = "<main><p>Some words stand here first.</p><div class='k'>{}</div><p>And some words stand here too.</p></main>"
+    long, short, links = " ".join(["term"] * 40), "buy it now", "<a href=x>" + " ".join(["term"] * 30) + "</a>"
+    got = [html_text.main_text(page.format(x), html_text.tree()) for x in (long, short, links)]
+    assert [("term" in x, "buy" in x) for x in got] == [(True, False), (False, False), (False, False)]
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a x="', "<div>", "</p>", "<!", "<!--", "<a href='>", "<div></span>", "<script>", "&amp"])
+def test_pages_hostile(unit):
+    begin = time.time()
+    html_text.main_text(unit * (1_000_000 // len(unit)), html_text.tree())
+    assert time.time() - begin < 10
+
+
+def test_pages_broken_markup():
+    found = [b.text for b in html_text.blocks("a < b <p>x<a href=1>y<p>z <b>w</p> 1 <!-- c --><i title='a>b'>q</i> <br")]
+    assert found == ["a < b", "xy", "z w", "1 q <br"]
+    # a link that is never closed ends with its paragraph
+    assert [b.linked for b in html_text.blocks("<p><a href=x>one two<p>three four")] == [2, 0]
+
+
+def test_pages_odd_rows(spark):
+    rows = [(1, None, None, 5), (2, "u", "", 5), (2, "u", "", 5), (3, "u", "<p>x y</p>", 5), (None, "u", "<p>" + "x " * 50_000, 5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, words int")
+    got = sorted(((r.page_id or 0, r.n_chars) for r in html_text.extract(df).collect()))
+    assert got == [(0, 99_999), (1, 0), (2, 0), (2, 0), (3, 3)]
+    assert html_text.extract(spark.createDataFrame([], df.schema)).count() == 0
+
+
 def test_pages_table(spark):
     raw = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in QUERIES["op7_html_extraction"](spark, SF).collect():
