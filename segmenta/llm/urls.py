@@ -8,9 +8,11 @@ most TRAIN_ROWS of them, a share of the hashes of their rows, are used.
 Features: length of url, host and path, depth of the path, labels of the host, share of
 digits in url and path, hyphens of the host, entropy of the host's characters, number
 of parameters, whether there is a fragment, a file suffix or a final slash, and
-statistics of the host's last label over all labelled urls: the share of blocked ones
-(towards one half by PRIOR pseudo-counts) and the logarithm of their number. Statistics
-are kept for the SUFFIXES most frequent last labels; all others share one value.
+statistics of the host's last label and of its last two over all labelled urls: the share
+of blocked ones (towards one half by PRIOR pseudo-counts) and the logarithm of their
+number. Statistics are kept for the SUFFIXES most frequent of each; all others share one
+value. While the trees are grown, a url's shares are counted without its own fold of
+FOLDS, so that its own label is not among its features.
 
 Defined results: null urls and urls without "://" have an empty host and path and no
 rule; empty urls, repeated rows and very long urls are judged like any other; with
@@ -34,6 +36,7 @@ TREES, DEPTH, RATE, BINS = 24, 3, 0.3, 16
 MIN_LEAF, L2 = 20, 1.0
 SUFFIXES = 200
 PRIOR = 20.0
+FOLDS = 5
 
 
 def host_of(url: Column) -> Column:
@@ -66,22 +69,29 @@ def _entropy(s: Column) -> Column:
     return F.when(n > 0, F.aggregate(F.filter(share, lambda p: p > 0), F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(0.0)
 
 
-def suffix_of(host: Column) -> Column:
-    return F.element_at(F.split(host, r"\."), -1)
+def suffix_of(host: Column, labels: int = 1) -> Column:
+    """The last labels of a host."""
+    return F.substring_index(host, ".", -labels)
 
 
-def features(url: Column, host: Column, path: Column, share: dict[str, float], seen: dict[str, float]) -> dict[str, Column]:
-    """The features by name, as doubles."""
+def features(url: Column, host: Column, path: Column, stats: dict[str, dict[str, float]], fold: Column | None = None) -> dict[str, Column]:
+    """The features by name, as doubles; with fold the shares are those without it."""
     u = F.coalesce(url, F.lit(""))
     asked = F.regexp_extract(u, r"\?([^#]*)", 1)
-    last = suffix_of(host)
 
-    def stat(values: dict[str, float], default: float) -> Column:
+    def stat(name: str, last: Column, default: float) -> Column:
+        values = stats.get(name, {})
         if not values:
             return F.lit(default)
         pairs = [F.lit(x) for kv in sorted(values.items()) for x in kv]
         return F.coalesce(F.element_at(F.create_map(*pairs), last), F.lit(default))
 
+    def share(labels: int) -> Column:
+        last = suffix_of(host, labels)
+        if fold is None:
+            return stat(f"share{labels}", last, 0.5)
+        return stat(f"without{labels}", F.concat_ws(" ", fold.cast("string"), last), 0.5)
+
     digits = lambda s: F.regexp_count(s, F.lit("[0-9]"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     out = {
@@ -98,8 +108,10 @@ def features(url: Column, host: Column, path: Column, share: dict[str, float], s
         "fragment": u.contains("#"),
         "file_suffix": path.rlike(r"\.[A-Za-z0-9]{1,5}$"),
         "final_slash": path.endswith("/"),
-        "suffix_share": stat(share, 0.5),
-        "suffix_seen": stat(seen, 0.0),
+        "suffix_share": share(1),
+        "suffix_seen": stat("seen1", suffix_of(host), 0.0),
+        "domain_share": share(2),
+        "domain_seen": stat("seen2", suffix_of(host, 2), 0.0),
     }
     return {k: v.cast("double") for k, v in out.items()}
 
@@ -157,8 +169,8 @@ def _condition(node, names: list[str]) -> Column:
 class UrlModel:
     """The grown trees and the statistics of suffixes that their features need."""
 
-    def __init__(self, start: float, trees: list, share: dict[str, float], seen: dict[str, float]):
-        self.start, self.trees, self.share, self.seen = start, trees, share, seen
+    def __init__(self, start: float, trees: list, stats: dict[str, dict[str, float]]):
+        self.start, self.trees, self.stats = start, trees, stats
 
     def log_odds(self, names: list[str]) -> Column:
         out = F.lit(self.start)
@@ -167,14 +179,30 @@ class UrlModel:
         return out
 
 
+def suffix_statistics(d: DataFrame) -> dict[str, dict[str, float]]:
+    """Shares of label 1 by suffix, the same without each fold, and numbers, over rows (host, label, fold)."""
+    stats: dict[str, dict[str, float]] = {}
+    for labels in (1, 2):
+        by_fold = d.groupBy(suffix_of(F.col("host"), labels).alias("suffix"), "fold").agg(F.count("*").alias("n"), F.sum("label").alias("k"))
+        top = by_fold.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "k")))).alias("of"))
+        share = lambda k, n: (k + PRIOR / 2) / (n + PRIOR)
+        for r in top.orderBy(F.desc("n"), "suffix").limit(SUFFIXES).collect():
+            stats.setdefault(f"share{labels}", {})[r.suffix] = share(r.k, r.n)
+            stats.setdefault(f"seen{labels}", {})[r.suffix] = float(np.log1p(r.n))
+            for fold in range(FOLDS):
+                mine = r["of"].get(fold)
+                stats.setdefault(f"without{labels}", {})[f"{fold} {r.suffix}"] = share(r.k - mine.k, r.n - mine.n) if mine else share(r.k, r.n)
+    return stats
+
+
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> UrlModel:
     """Grow trees from labelled urls (url, label 0 or 1, and key, which tells rows with equal urls apart)."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     d = labelled.filter("label is not null").select("url", F.col("label").cast("int").alias("label"), host.alias("host"), path.alias("path"), F.xxhash64("url", "key").alias("h"))
-    stats = d.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.count("*").alias("n"), F.sum("label").alias("k")).orderBy(F.desc("n"), "suffix").limit(SUFFIXES).collect()
-    share = {r.suffix: (r.k + PRIOR / 2) / (r.n + PRIOR) for r in stats}
-    seen = {r.suffix: float(np.log1p(r.n)) for r in stats}
-    named = features(F.col("url"), F.col("host"), F.col("path"), share, seen)
+    # urls of one host are one fold, as they share their labels' reasons
+    d = d.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int"))
+    stats = suffix_statistics(d)
+    named = features(F.col("url"), F.col("host"), F.col("path"), stats, F.col("fold"))
     # a share of the hashes that holds about as many rows as the bound, so that no task sends more than its part
     total = d.count()
     if total > rows:
@@ -182,7 +210,7 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> UrlModel:
     got = sorted(d.select("h", *(v.alias(k) for k, v in named.items()), "label").collect())
     x = np.array([[r[k] for k in named] for r in got], np.float64).reshape(-1, len(named))
     start, trees = grow_trees(x, np.array([r.label for r in got], np.float64))
-    return UrlModel(start, trees, share, seen)
+    return UrlModel(start, trees, stats)
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, model: UrlModel | None = None) -> DataFrame:
@@ -192,7 +220,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     d = d.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
     if model is None:
         model = fit(d.filter("hit is not null").select("url", (F.col("hit.verdict") == "block").cast("int").alias("label"), F.col("page_id").alias("key")))
-    named = features(url, F.col("host"), F.col("path"), model.share, model.seen)
+    named = features(url, F.col("host"), F.col("path"), model.stats)
     d = d.withColumns({f"_{k}": v for k, v in named.items()})
     odds = model.log_odds([f"_{k}" for k in named])
     d = d.withColumn("score", 1 / (1 + F.exp(-odds)))

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from oracle import SF, same
+from pyspark.sql import functions as F
 
 from segmenta.llm import decontam, html_text, lm, neighbours, ngram_join, pieces, pii, spans, toxicity, urls
 from segmenta.llm.graph import components
@@ -279,6 +280,62 @@ def test_url_rules_and_trees(spark):
     assert ((z > 0) == (y > 0)).mean() > 0.98
 
 
+def _url_features(df, model):
+    named = urls.features(F.col("url"), F.col("host"), F.col("path"), model.stats)
+    return list(named), df.select("page_id", "url", urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path")).select("page_id", *(v.alias(k) for k, v in named.items()))
+
+
+def test_url_conditions_equal_trees(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    d = pages.withColumns({"host": urls.host_of(F.col("url")), "path": urls.path_of(F.col("url"))}).withColumn("hit", urls.rule_of(F.col("host"), F.col("path")))
+    model = urls.fit(d.filter("hit is not null").select("url", (F.col("hit.verdict") == "block").cast("int").alias("label"), F.col("page_id").alias("key")))
+    names, rows = _url_features(pages, model)
+    want = {r.page_id: model.start + sum(urls.tree_value(t, [r[n] for n in names]) for t in model.trees) for r in rows.collect()}
+    got = {r.page_id: r for r in urls.judge(pages, model=model).collect()}
+    assert len(model.trees) and len(got) == len(want) == pages.count()
+    for i, r in got.items():
+        assert abs(r.score - 1 / (1 + math.exp(-want[i]))) < 1e-9 and (r.rule or r.verdict == ("block" if r.score >= 0.5 else "allow"))
+
+
+def test_url_features_against_python(spark):
+    cases = ["http://a.b.com/x/y1/?q=1&r=2#f", "https://h-h.org", "x", "", None, "ftp://UPPER.Net/a.html?", "s://9/" + "7" * 3000]
+    names, rows = _url_features(spark.createDataFrame(list(enumerate(cases)), "page_id long, url string"), urls.UrlModel(0.0, [], {}))
+    got = {r.page_id: r for r in rows.collect()}
+    for i, u in enumerate(cases):
+        u = u or ""
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u)
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        asked = re.search(r"\?([^#]*)", u)
+        want = {
+            "length": len(u), "host_length": len(host), "path_length": len(path), "depth": len(re.findall("/[^/]", path)), "labels": host.count("."), "hyphens": host.count("-"),
+            "digit_ratio": sum(c in "0123456789" for c in u) / len(u) if u else 0.0,
+            "entropy": -sum(host.count(c) / len(host) * math.log2(host.count(c) / len(host)) for c in set(host)),
+            "parameters": asked[1].count("&") + 1 if asked and asked[1] else 0, "fragment": "#" in u, "final_slash": path.endswith("/"), "suffix_share": 0.5, "domain_seen": 0.0,
+        }
+        assert all(abs(got[i][k] - v) < 1e-9 for k, v in want.items()), (u, got[i], want)
+
+
+def test_url_held_out(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").withColumns({"host": urls.host_of(F.col("url")), "path": urls.path_of(F.col("url"))}).withColumn("hit", urls.rule_of(F.col("host"), F.col("path"))).filter("hit is not null")
+    d = d.withColumn("label", (F.col("hit.verdict") == "block").cast("int"))
+    held = F.pmod(F.xxhash64("host"), F.lit(2)) == 0
+    model = urls.fit(d.filter(~held).select("url", "label", F.col("page_id").alias("key")))
+    got = urls.judge(d.filter(held), model=model).join(d.select("page_id", "label"), "page_id").agg(F.avg(((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("int")).alias("right"), F.avg("label").alias("one")).first()
+    print("held-out hosts:", got)
+    assert got.right > max(got.one, 1 - got.one) + 0.02
+
+
+def test_url_odd_rows(spark):
+    rows = [(1, "http://x.org/fr/a", 1.0, "h"), (1, "http://x.org/fr/a", 1.0, "h"), (2, "http://y.org/fr/", 1.0, "h"), (3, "http://z.com/" + "a/" * 20_000, 1.0, "h"), (4, None, None, None), (None, "http://x.net/", 1.0, "h")]
+    df = spark.createDataFrame(rows, "page_id long, url string, score double, hit string")
+    got = sorted(((r.page_id or 0, r.rule, r.verdict) for r in urls.judge(df).collect()), key=str)
+    assert [x for x in got if x[0] == 1] == [(1, "org/fr/", "allow")] * 2 and (0, "net/", "block") in got and len(got) == 6
+    # labels of one class, and none at all
+    allow = df.filter("page_id in (1, 2, 3, 4)")
+    assert {r.verdict for r in urls.judge(allow).collect()} == {"allow"}
+    assert {r.verdict for r in urls.judge(df.filter("page_id = 3")).collect()} == {"allow"} and urls.judge(df.filter("false")).count() == 0
+
+
 def test_pieces_distribution_and_round_trip(spark, odd, none):
     v = pieces.Vocabulary.load(pieces.MODEL)
     (_, _, data, offs), *_ = slices(pa.array([" then"] * 8000, pa.large_string()))
