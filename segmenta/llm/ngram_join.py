@@ -3,25 +3,26 @@
 A text's set holds its distinct five-word shingles (48-bit hashes); equal sets are one
 class from the start. If two sets have a Jaccard similarity of at least t, then under
 every global order of the tokens the first n - ceil(t * n) + 1 tokens of each share
-one. Orders used: by a random hash (ten of them, first tokens only) and by rarity
-with three different hashes behind it.
+one. Orders used: by rarity (the class of a token's count, then a hash), by two plain
+hashes that know nothing of rarity, and by ten more of which only first tokens count.
 
 1. One pass over the texts gives every row its class, the first token under each
    random order, and its tokens in ranges; the ranges give each token's exact count
    over all texts. The HEAVY most frequent tokens are broadcast as the rarity order,
    with a bitmap of tokens that occur twice or more.
 2. Classes that share first tokens under two or more random orders with the least or
-   greatest class of their block are verified. This joins dense groups along a few
+   greatest class of their block are candidates. This joins dense groups along a few
    hubs: as many pairs as blocks have members, not all pairs.
 3. Exact step, for pairs of classes that are not connected yet: prefixes under the
-   first rarity order are joined, and a pair stays only if the prefixes under the two
-   other orders overlap too (as bitmaps of 32 bits), its lengths fit and the place of
+   rarity order are joined, and a pair is a candidate if its lengths fit and the place of
    the common token leaves room for enough common tokens. Blocks whose members are
    all connected are left out, so a group of copies adds no pairs. Rounds between
    hubs of blocks come first, then all pairs that are left.
-4. Each candidate pair is verified on its whole sets; links give components.
+4. Candidates of either step are intersected with the filters of the two plain orders:
+   a pair whose prefixes share no token under one of them goes. Only then whole sets are
+   moved and compared; links give components.
 
-No link is lost by step 2 or 3: only pairs already connected, or without a common
+No link is lost by steps 2 to 4: only pairs already connected, or without a common
 prefix token under one of the orders, go unverified. Defined results: null, empty and
 blank texts have an empty set and are linked with nothing (each its own component);
 texts of one to four words have their whole sequence as the only shingle; repeated rows
@@ -58,6 +59,8 @@ MAP_BITS = 27
 NEED_BITS = 23
 HUB_ROUNDS = 3
 
+#: the two plain orders
+_PLAIN = mix(np.array([101, 102], U) * U(0xA0761D6478BD642F))
 _SEEDS = mix(np.arange(1, RANDOM_ORDERS + 1, dtype=U) * U(0xA0761D6478BD642F))
 
 
@@ -133,7 +136,7 @@ def _count(bits: int) -> object:
 
 
 class Orders:
-    """Three global orders: by the class of a token's count, then by one of three hashes."""
+    """The rarity order: by the class of a token's count, then by a hash."""
 
     def __init__(self, heavy: np.ndarray, klass: np.ndarray, repeated: np.ndarray, bits: int):
         self.heavy, self.klass, self.repeated, self.bits = heavy, klass, repeated, bits
@@ -158,54 +161,59 @@ def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
     return n - -(-threshold * n // 100) + 1
 
 
+def first_under(seed: U, s: np.ndarray, threshold: int) -> np.ndarray:
+    """The prefix of a set under a plain order, as 32-bit tokens."""
+    p = prefix_length(len(s), threshold)
+    t = s if p >= len(s) else s[np.argpartition(mix(s ^ seed), p - 1)[:p]]
+    return t.astype(np.uint32).view(np.int32)
+
+
 @tidied
-def _prefixes(shared) -> object:
+def _prefixes(shared, threshold: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = Orders(*shared.value)
         for batch in batches:
             seen: set[int] = set()
-            toks, sids, ns, places, b2, b3 = [], [], [], [], [], []
+            toks, sids, ns, places = [], [], [], []
             for _, _, data, offs in slices(batch.column(0)):
                 sets = list(shingle_sets(data, offs, SHINGLE))
                 sizes = [len(s) for s in sets]
                 if not sum(sizes):
                     continue
                 flat = np.concatenate(sets)
-                base = orders.classes(flat) << U(58)
                 twice = orders.twice(flat)
-                ranks = [base | (mix(flat + U(k)) >> U(6)) for k in (1, 2, 3)]
+                rank = orders.classes(flat) << U(58) | (mix(flat + U(1)) >> U(6))
                 a = 0
                 for s, n in zip(sets, sizes, strict=True):
                     sid = set_id(s)
                     b = a + n
                     if n and sid not in seen and twice[a:b].any():
                         seen.add(sid)
-                        p = prefix_length(n)
-                        tops = [np.argpartition(r[a:b], p - 1)[:p] if p < n else np.arange(n) for r in ranks]
-                        first = tops[0][np.argsort(ranks[0][a:b][tops[0]])]
+                        p = prefix_length(n, threshold)
+                        top = np.argpartition(rank[a:b], p - 1)[:p] if p < n else np.arange(n)
+                        first = top[np.argsort(rank[a:b][top])]
                         place = np.flatnonzero(twice[a:b][first])
-                        marks = [int(np.bitwise_or.reduce(np.int64(1) << (s[t] % U(31)).astype(np.int64))) for t in tops[1:]]
-                        m = len(place)
                         toks.append(s[first[place]])
                         places.append(place)
-                        sids.append(np.full(m, sid, np.int64))
-                        ns.append(np.full(m, n, np.int32))
-                        b2.append(np.full(m, marks[0], np.int32))
-                        b3.append(np.full(m, marks[1], np.int32))
+                        sids.append(np.full(len(place), sid, np.int64))
+                        ns.append(np.full(len(place), n, np.int32))
                     a = b
             if toks:
-                cols = [np.concatenate(x) for x in (toks, sids, ns, places, b2, b3)]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3].astype(np.int32)), pa.array(cols[4]), pa.array(cols[5])], ["tok", "sid", "n", "place", "b2", "b3"])
+                cols = [np.concatenate(x) for x in (toks, sids, ns, places)]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3].astype(np.int32))], ["tok", "sid", "n", "place"])
 
     return run
 
 
 @tidied
-def _needed(shared) -> object:
+def _needed(shared, threshold: int) -> object:
+    """Rows (sid, body, p2, p3) of sets that may be among the needed ones: tokens, and the prefixes under the plain orders."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         need = shared.value
         for batch in batches:
             found: dict[int, bytes] = {}
+            firsts: list[list[np.ndarray]] = [[], []]
             # one text of each class is enough, and only texts that may be one are made into sets
             i = batch.column(1).to_numpy() & ((1 << NEED_BITS) - 1)
             hit = pa.array((need[i >> 6] >> (i & 63)) & 1 == 1)
@@ -215,7 +223,13 @@ def _needed(shared) -> object:
                         sid = set_id(s)
                         if sid not in found:
                             found[sid] = np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["sid", "body"])
+                            for f, seed in zip(firsts, _PLAIN, strict=True):
+                                f.append(first_under(seed, s, threshold))
+            lists = []
+            for f in firsts:
+                bounds = np.append(0, np.cumsum([len(x) for x in f])).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.zeros(0, np.int32), *f]))))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary()), *lists], ["sid", "body", "p2", "p3"])
 
     return run
 
@@ -247,8 +261,8 @@ def _linked(threshold: int) -> object:
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Those distinct pairs of classes (a, b) whose whole sets are similar enough; texts has text and h, classes the h of one text of each sid."""
+def sets_of(pairs: DataFrame, texts: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """(sid, body, p2, p3) of the classes that pairs (a, b) name; texts has text and h, classes the h of one text of each sid."""
     spark = pairs.sparkSession
     low = (1 << NEED_BITS) - 1
     both = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
@@ -258,10 +272,25 @@ def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, threshold:
     for r in words:
         need[r.w] = r.m
     shared = spark.sparkContext.broadcast(need)
-    sets = saved(texts.mapInArrow(_needed(shared), "sid long, body binary").dropDuplicates(["sid"]), "sets")
-    full = pairs.join(sets.select(F.col("sid").alias("b"), F.col("body").alias("sb")), "b").join(sets.select(F.col("sid").alias("a"), F.col("body").alias("sa")), "a")
+    return saved(texts.mapInArrow(_needed(shared, threshold), "sid long, body binary, p2 array<int>, p3 array<int>").dropDuplicates(["sid"]), "sets")
+
+
+def intersected(pairs: DataFrame, sets: DataFrame, orders: tuple[str, ...] = ("p2", "p3")) -> DataFrame:
+    """Those pairs (a, b) whose prefixes share a token under each of the plain orders."""
+    for side in ("b", "a"):
+        pairs = pairs.join(sets.select(F.col("sid").alias(side), *(F.col(p).alias(f"{p}_{side}") for p in orders)), side)
+    for p in orders:
+        pairs = pairs.filter(F.arrays_overlap(f"{p}_a", f"{p}_b"))
+    return pairs.select("a", "b")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Those distinct pairs of classes (a, b) whose whole sets are similar enough."""
+    sets = sets_of(pairs, texts, classes, threshold)
+    left = saved(intersected(pairs, sets), "intersected")
+    full = left.join(sets.select(F.col("sid").alias("b"), F.col("body").alias("sb")), "b").join(sets.select(F.col("sid").alias("a"), F.col("body").alias("sa")), "a")
     out = saved(full.select("a", "b", "sa", "sb").mapInArrow(_linked(threshold), "a long, b long"), "links")
-    drop_saved(sets)
+    drop_saved(sets, left)
     return out
 
 
@@ -308,7 +337,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links, tried = [verified(near, texts, classes, threshold)], [near]
 
     # step 3: prefixes under the rarity orders, pairs of different components only
-    prefixes = saved(texts.select("text").mapInArrow(_prefixes(shared), "tok long, sid long, n int, place int, b2 int, b3 int").dropDuplicates(["tok", "sid"]), "prefixes")
+    prefixes = saved(texts.select("text").mapInArrow(_prefixes(shared, threshold), "tok long, sid long, n int, place int").dropDuplicates(["tok", "sid"]), "prefixes")
     for turn in range(HUB_ROUNDS + 1):
         label = components(_all(links))
         if turn:
@@ -318,14 +347,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         t = prefixes.join(label.withColumnsRenamed({"node": "sid", "root": "comp"}), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
         # hubs: of the least and greatest component at first, then drawn anew for each block
         rank = F.col("comp") if turn == 0 else F.xxhash64("sid", "tok", F.lit(turn))
-        member = F.struct(rank.alias("rank"), "comp", "sid", "n", "place", "b2", "b3")
+        member = F.struct(rank.alias("rank"), "comp", "sid", "n", "place")
         blocks = t.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(member).alias("first"), F.max(member).alias("last")).filter("lo < hi")
         if turn < HUB_ROUNDS:
             # each member against the block's first and last one
             mine = t.join(blocks.select("tok", F.array("first", "last").alias("hubs")), "tok").select("*", F.explode("hubs").alias("y"))
             x, y = mine, "y."
         else:
-            x = t.join(blocks.select("tok"), "tok", "left_semi").alias("x").join(t.select("tok", F.struct("comp", "sid", "n", "place", "b2", "b3").alias("y")), "tok")
+            x = t.join(blocks.select("tok"), "tok", "left_semi").alias("x").join(t.select("tok", F.struct("comp", "sid", "n", "place").alias("y")), "tok")
             y = "y."
         need = F.ceil((F.col("n") + F.col(y + "n")) * threshold / (100 + threshold) - 1e-9)
         room = F.least(F.col("n") - F.col("place"), F.col(y + "n") - F.col(y + "place"))  # at most so many tokens in common if this is the first
@@ -333,8 +362,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             (F.col("comp") < F.col(y + "comp") if turn == HUB_ROUNDS else F.col("comp") != F.col(y + "comp"))
             & (100 * F.least("n", y + "n") >= threshold * F.greatest("n", y + "n"))
             & ((room >= need) if turn == HUB_ROUNDS else F.lit(True))
-            & (F.col("b2").bitwiseAND(F.col(y + "b2")) != 0)
-            & (F.col("b3").bitwiseAND(F.col(y + "b3")) != 0)
         )
         pairs = saved(x.filter(fits).select(F.least("sid", y + "sid").alias("a"), F.greatest("sid", y + "sid").alias("b")).distinct().join(_all(tried), ["a", "b"], "left_anti"), "pairs")
         if not pairs.head(1):
@@ -347,7 +374,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = classes.select("sid", "rep").join(label, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least_id = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of = saved(named.join(least_id, "root").select("sid", "component_id", "root"), "named")
-    drop_saved(prefixes, counts, *tried)
+    drop_saved(prefixes, counts, *tried, *links)
     out = rows.select("id", "sid", "n", "h").join(of, "sid", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("h").alias("text_hash"), F.col("root").alias("group_hash"))
 

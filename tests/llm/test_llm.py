@@ -74,6 +74,43 @@ def test_join_dense_group(spark):
     assert got == root
 
 
+@pytest.mark.parametrize("threshold", [50, 75, 90])
+def test_join_orders_drop_candidates_not_links(spark, threshold):
+    rng = random.Random(11)
+    base = [[f"b{k}w{i}" for i in range(40)] for k in range(12)]
+    texts = []
+    for i in range(120):
+        words = list(base[i % 12])
+        for _ in range(rng.choice([0, 1, 2, 6])):
+            words[rng.randrange(40)] = f"x{rng.randrange(10**6)}"
+        # a passage that many texts share, too short to link them
+        words[rng.randrange(30) :][:0] = ["common", "words", "that", "stand", "in", "all", "of", "them"]
+        texts.append((i, " ".join(words + base[(i + 1) % 12][: rng.choice([0, 0, 8])])))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs.drop("h"), threshold=threshold).collect()}
+    assert got == root
+    # all pairs of classes: each plain order drops some, both together more, none that is linked
+    found = ngram_join.jaccard_components(docs.drop("h"), threshold=threshold).collect()
+    rows = [(ngram_join.set_id(s), i) for i, t in texts for s in ngram_join.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))]
+    classes = spark.createDataFrame(rows, "sid long, doc_id long").join(docs, "doc_id").groupBy("sid").agg(F.min("h").alias("h"))
+    ids = sorted({s for s, _ in rows})
+    pairs = spark.createDataFrame([(a, b) for a in ids for b in ids if a < b], "a long, b long")
+    full = ngram_join.sets_of(pairs, docs.select("text", "h"), classes, threshold)
+    left = {orders: {tuple(r) for r in ngram_join.intersected(pairs, full, orders).collect()} for orders in (("p2",), ("p3",), ("p2", "p3"))}
+    assert max(len(left["p2",]), len(left["p3",])) < pairs.count()
+    assert left["p2", "p3"] == left["p2",] & left["p3",] and len(left["p2", "p3"]) < min(len(left["p2",]), len(left["p3",]))
+    sid = {i: s for s, i in rows}
+    linked = {(min(sid[i], sid[j]), max(sid[i], sid[j])) for i in sets for j in sets if i < j and sid[i] != sid[j] and 100 * len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j])}
+    assert linked <= left["p2", "p3"] and len(found) == 120
+
+
 def test_neighbours_odd_rows(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(1, v), (2, v), (3, [2.0, 4.0, 6.1]), (4, [-1.0, 0.0, 0.0]), (5, None), (6, [0.0, 0.0, 0.0]), (7, [1.0, None, 2.0]), (8, [float("nan"), 1.0, 1.0]), (9, [1.0, 2.0]), (10, [])]
