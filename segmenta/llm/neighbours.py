@@ -16,6 +16,11 @@ centres are near, and all pairs of blocks of a group's rows are compared, a task
 of blocks, which gives numbers of links, not pairs. Every link in the result is a
 cosine in double precision of at least the threshold.
 
+At the end the result itself is audited: the numbers of links of SAMPLE vectors, those of
+dense groups among them, are held against a comparison with all vectors. The recall is
+logged; below TARGET all blocks of all vectors are compared, which is exact and slow, and
+the log says so.
+
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing (n_links 0, component their own id); vectors of different
 length are not compared; repeated rows are each other's links; rows without an id are
@@ -24,6 +29,7 @@ dropped; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +54,8 @@ SAMPLE = 256
 BLOCK = 2048
 SEED = 7
 
+log = logging.getLogger(__name__)
+
 
 def _matrix(col: pa.Array) -> np.ndarray:
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
@@ -213,6 +221,35 @@ def recall(v: DataFrame, links: DataFrame, threshold: float, sample: int = SAMPL
     return true, hit
 
 
+@tidied
+def _partners(shared) -> object:
+    """(a, n): the weights of all vectors linked with each sampled one, a row a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x, threshold = shared.value
+        for batch in batches:
+            size = np.array([len(r) for r in batch.column(2)])
+            at = np.flatnonzero(size == x.shape[1])
+            if len(at):
+                mine, w = batch.column(0).to_numpy()[at], batch.column(1).to_numpy()[at]
+                hit = (x @ _matrix(batch.column(2).take(pa.array(at))).T >= threshold) & (ids[:, None] != mine[None, :])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hit @ w)], ["a", "n"])
+
+    return run
+
+
+def audit(v: DataFrame, counted: DataFrame, threshold: float, sample: int = SAMPLE) -> tuple[int, int]:
+    """(links of sampled vectors (id, w, vec) by comparison with all, those that counted (id, n) has), weights counted."""
+    some = v.orderBy(F.xxhash64("id", F.lit(SEED + 1))).limit(sample).collect()
+    true = 0
+    for d in {len(r.vec) for r in some}:
+        ids = np.array([r.id for r in some if len(r.vec) == d])
+        shared = v.sparkSession.sparkContext.broadcast((ids, np.array([r.vec for r in some if len(r.vec) == d]), threshold))
+        true += v.select("id", "w", "vec").mapInArrow(_partners(shared), "a long, n long").agg(F.sum("n")).first()[0] or 0
+    found = counted.filter(F.col("id").isin([r.id for r in some])).agg(F.sum("n")).first()[0] if some else 0
+    return true, found or 0
+
+
 def _blocks(threshold: float) -> object:
     """Numbers of links between two blocks of a group, and a spanning forest (id, to) of the components that links between them join."""
 
@@ -281,7 +318,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     n = v.count()
     graph = start(v, n, range(ROUNDS), k)
     fresh, edge = graph, n * k
-    for audit in range(AUDITS):
+    for turn in range(AUDITS):
         for _ in range(REFINEMENTS):
             nxt = refine(v, graph, fresh, k)
             fresh = saved(nxt.select("a", "b").join(graph.select("a", "b"), ["a", "b"], "left_anti"), "fresh")
@@ -293,9 +330,9 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         links = saved(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
         full = graph.filter(F.col("s") >= threshold).groupBy("a").count().filter(F.col("count") >= k).select(F.col("a").alias("id"))
         true, hit = recall(v.join(full, "id", "left_anti"), links, threshold) if n else (0, 0)
-        if hit >= target * true or audit == AUDITS - 1:
+        if hit >= target * true or turn == AUDITS - 1:
             break
-        more = start(v, n, range(ROUNDS * (audit + 1), ROUNDS * (audit + 2)), k)
+        more = start(v, n, range(ROUNDS * (turn + 1), ROUNDS * (turn + 2)), k)
         merged = saved(_top(graph.union(more), k), "graph")
         fresh = saved(merged.select("a", "b").join(graph.select("a", "b"), ["a", "b"], "left_anti"), "fresh")
         graph = merged
@@ -318,9 +355,21 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     weight = classes.select(F.col("id").alias("b"), "w")
     counted = links.join(weight, "b").groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("n"))
     edges = links
+
+    def with_groups(counted: DataFrame, edges: DataFrame, extra: DataFrame) -> tuple[DataFrame, DataFrame]:
+        both = counted.join(extra.filter("to is null").select("id", F.col("n").alias("m")), "id", "full").select("id", F.greatest(F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))).alias("n"))
+        return both, edges.union(extra.filter("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b")))
+
     if extra is not None:
-        counted = counted.join(extra.filter("to is null").select("id", F.col("n").alias("m")), "id", "full").select("id", F.greatest(F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))).alias("n"))
-        edges = links.union(extra.filter("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b")))
+        counted, edges = with_groups(counted, edges, extra)
+    counted = saved(counted, "counted")
+    true, hit = audit(v, counted, threshold) if n else (0, 0)
+    log.info("recall of sampled links: %d of %d", hit, true)
+    if hit < target * true:
+        log.warning("recall %.3f below %.2f: comparing all blocks", hit / true, target)
+        named = v.join(components(edges), v.id == F.col("node"), "left").select(F.lit(0).cast("long").alias("grp"), F.coalesce("root", "id").alias("comp"), "id", "w", "vec")
+        counted, edges = with_groups(counted, edges, saved(group_counts(saved(named, "inside"), threshold), "extra"))
+        counted = saved(counted, "counted")
     label = components(edges).withColumnsRenamed({"node": "id"})
     of = classes.join(counted, "id", "left").join(label, "id", "left")
     of = saved(of.select("vec", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id")), "named")

@@ -136,6 +136,44 @@ def test_neighbours_groups_with_crossed_ids(spark):
     assert got == {1: (1, 1), 10: (2, 1), 20: (2, 1), 5: (1, 1)}
 
 
+def _clusters(seed, n=400, size=16, d=24, noise=0.16):
+    """Vectors of clusters of about size rows, partly linked, and scattered ones."""
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((n // size // 2, d))
+    x = np.concatenate([centres[rng.integers(0, len(centres), n // 2)] + noise * rng.standard_normal((n // 2, d)), rng.standard_normal((n - n // 2, d))])
+    return x[rng.permutation(n)]
+
+
+def test_neighbours_recall(spark):
+    # lists of 4 among cells of few rows: the graph must be refined to find the links
+    x = _clusters(3, n=1200)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in neighbours.near_duplicates(df, k=4).collect()}
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.9 * want.sum() > 0
+
+
+def test_neighbours_audit_and_exact_way(spark, caplog):
+    x = _clusters(4, n=300)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    v = spark.createDataFrame([(i, 1, r.tolist()) for i, r in enumerate(u)], "id long, w long, vec array<double>")
+    half = spark.createDataFrame([(i, int(k) // 2) for i, k in enumerate(want)], "id long, n long")
+    assert neighbours.audit(v, half, 0.9, sample=300) == (want.sum(), sum(int(k) // 2 for k in want))
+    # a target that nothing reaches takes the exact way, and says so
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in neighbours.near_duplicates(df, target=1.01).collect()}
+    assert [got[i] for i in range(300)] == want.tolist() and "comparing all blocks" in caplog.text
+
+
+def test_neighbours_empty_and_single(spark):
+    schema = "vec_id long, embedding array<double>, id long, w int, node string"
+    assert neighbours.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+    got = neighbours.near_duplicates(spark.createDataFrame([(7, [1.0, 0.0], 3, 4, "x"), (None, [1.0, 0.0], 3, 4, "x")], schema)).collect()
+    assert [tuple(r) for r in got] == [(7, 0, 7, True)]
+
+
 def test_lm_base_against_brute_force(spark, odd):
     for docs in (spark.read.parquet(f"{SF}/documents.parquet"), odd):
         rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
