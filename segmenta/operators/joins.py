@@ -40,9 +40,10 @@ def rare_shingle_candidates(texts: DataFrame, lines: DataFrame, n: int = 4) -> D
     """
 
     def runs(df: DataFrame, key: str, text: str) -> DataFrame:
-        w = T.words(F.col(text))
-        made = F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
-        return df.select(key, F.explode(F.array_distinct(made)).alias("run"))
+        # the words are a column of their own: inside the lambda every run would extract them again
+        d = df.select(key, T.words(F.col(text)).alias("w"))
+        made = F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>"))
+        return d.select(key, F.explode(F.array_distinct(made)).alias("run"))
 
     return runs(texts, "doc_id", "text").join(small(runs(lines, "item_id", "line")), "run").groupBy("doc_id", "item_id").agg(F.count("*").alias("common"))
 
@@ -68,11 +69,11 @@ def passage_match(texts: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def interval_best(p: DataFrame, g: DataFrame, key: str, bucket: float) -> DataFrame:
-    """For each interval of p the one of g (same key) with most overlap; ties: earlier start, smaller id.
+def overlapping(p: DataFrame, g: DataFrame, key: str, bucket: float) -> DataFrame:
+    """Pairs of intervals of p and g (same key) that overlap, each once.
 
     Both sides are dealt out to buckets of time, joined by bucket, and a pair counts in the
-    first bucket that both touch only, so it is one row.
+    first bucket that both touch only.
     """
 
     def dealt(df: DataFrame, s: str) -> DataFrame:
@@ -81,7 +82,12 @@ def interval_best(p: DataFrame, g: DataFrame, key: str, bucket: float) -> DataFr
 
     a, b = dealt(p, "p"), dealt(g, "g")
     both = a.join(b, [key, "bucket"]).filter(F.col("bucket") == F.greatest("p_first", "g_first")).filter("p_start < g_end and g_start < p_end")
-    both = both.withColumn("overlap", F.least("p_end", "g_end") - F.greatest("p_start", "g_start"))
+    return both.drop("bucket", "p_first", "g_first")
+
+
+def interval_best(p: DataFrame, g: DataFrame, key: str, bucket: float) -> DataFrame:
+    """For each interval of p the one of g (same key) with most overlap; ties: earlier start, smaller id."""
+    both = overlapping(p, g, key, bucket).withColumn("overlap", F.least("p_end", "g_end") - F.greatest("p_start", "g_start"))
     return first_per(both, ["p_id"], F.desc("overlap"), F.asc("g_start"), F.asc("g_id"))
 
 

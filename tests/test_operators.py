@@ -35,6 +35,52 @@ def test_overlap_repair(spark):
     assert got == [(1, 0.0, 4.0), (1, 4.0, 8.0), (2, 0.0, 5.0), (2, 5.0, 8.0), (3, 0.0, 5.0)]
 
 
+def _repaired(rows):
+    """The fold of one key's rows (start, end, confidence), in order."""
+    out = []
+    for s, e, c in sorted(rows):
+        if not out or s >= out[-1][1]:
+            out.append((s, e, c))
+        elif c > out[-1][2]:
+            a, _, d = out.pop()
+            out += ([(a, s, d)] if s > a else []) + [(s, e, c)]
+        elif e > out[-1][1]:
+            out.append((out[-1][1], e, c))
+    return out
+
+
+def test_overlap_repair_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(k, float(s := rng.randrange(200)), float(s + rng.randrange(1, 9)), rng.randrange(5) / 5) for k in range(6) for _ in range(40)]
+    got = sorted((r.k, r.pos, r.start, r.end, r.confidence) for r in S.repair_overlaps(spark.createDataFrame(rows, "k int, start double, end double, confidence double"), "k").collect())
+    assert got == [(k, i, *x) for k in range(6) for i, x in enumerate(_repaired([r[1:] for r in rows if r[0] == k]))]
+
+
+def test_matching_against_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(i, i % 3, float(s := rng.randrange(120)), float(s + rng.randrange(2, 9))) for i in range(120)]
+    df = S.runs_of_overlaps(spark.createDataFrame(rows, "event_id long, user_id long, s double, e double"), ["user_id"], "s", "e")
+    side = lambda c, rest: df.filter(f"event_id % 2 = {rest}").select("user_id", F.col("run").alias(f"{c}_run"), F.col("event_id").alias(f"{c}_id"), F.col("s").alias(f"{c}_start"), F.col("e").alias(f"{c}_end"))
+    both = J.overlapping(side("p", 0), side("g", 1), "user_id", 5.0)
+    iou = (F.least("p_end", "g_end") - F.greatest("p_start", "g_start")) / (F.greatest("p_end", "g_end") - F.least("p_start", "g_start"))
+    pairs = both.select("user_id", F.col("p_run").alias("run"), "p_id", F.col("p_start").alias("p_pos"), "g_id", iou.alias("iou")).filter("iou > 0.5")
+    got = {(r.p_id, r.g_id) for r in S.match_one_to_one(pairs, ["user_id", "run"]).collect()}
+    want, taken = set(), set()
+    for i, u, s, e in sorted((r for r in rows if r[0] % 2 == 0), key=lambda r: (r[2], r[0])):
+        free = [((min(e, f) - max(s, t)) / (max(e, f) - min(s, t)), -j) for j, v, t, f in rows if j % 2 and v == u and j not in taken and min(e, f) > max(s, t)]
+        if free and max(free)[0] > 0.5:
+            taken.add(-max(free)[1])
+            want.add((i, -max(free)[1]))
+    assert got == want and want
+
+
+def test_scan_match(spark):
+    p = spark.createDataFrame([("f", 1, 0.0, 5.0), ("f", 2, 5.0, 9.0), ("f", 3, 20.0, 21.0), ("g", 4, 0.0, 1.0)], "file string, p_id long, p_start double, p_end double")
+    g = spark.createDataFrame([("f", 1, 0.0, 2.0), ("f", 2, 2.0, 6.0), ("f", 3, 6.0, 8.0)], "file string, g_id long, g_start double, g_end double")
+    got = {r.p_id: (r.g_id, r.overlap) for r in S.scan_match(p, g, "file").collect()}
+    assert got == {1: (2, 3.0), 2: (3, 2.0), 3: (None, 0.0), 4: (None, 0.0)}
+
+
 def test_gaps(spark):
     df = spark.createDataFrame([(1, 0.0, 5.0), (1, 7.0, 9.0), (1, 9.5, 10.0)], "k int, start double, end double")
     assert [tuple(r) for r in S.gaps(df, "k", "start", "end").collect()] == [(1, 5.0, 7.0, "gap")]
