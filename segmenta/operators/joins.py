@@ -139,3 +139,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, score: Column, k: int) -> Da
     w = Window.partitionBy("a").orderBy(F.desc("score"), "b")
     pairs = vectors.join(small(queries), F.col("a") != F.col("b")).withColumn("score", F.round(score, 6))
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def first_rows(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
+    """The first k rows of each key in the given order."""
+    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_rn") <= k).drop("_rn")

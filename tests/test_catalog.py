@@ -3,6 +3,7 @@
 import pytest
 from oracle import SF, same
 
+import segmenta.plans.more  # noqa: F401 (adds its queries)
 from segmenta.plans.catalog import ORACLE_SQL, QUERIES
 
 
