@@ -410,9 +410,9 @@ def token_words(spark, d):
     return G.token_words(f.withColumn("at", F.col("at").cast("long")), "user_id", "at", "token", "value", 0.02)
 
 
-@query("SELECT user_id, coalesce(avg(CASE WHEN event_type <> 'error' THEN value END), 0.0) AS confidence, avg(value) AS plain FROM events GROUP BY user_id")
+@query("SELECT user_id, round(coalesce(avg(CASE WHEN event_type <> 'error' THEN value END), 0.0), 4) AS confidence, round(avg(value), 4) AS plain FROM events GROUP BY user_id")
 def frame_confidence(spark, d):
-    return G.frame_confidence(table(spark, d, "events"), "user_id", "event_type", "value", pad="error").select("user_id", _r(F.col("confidence"), 9).alias("confidence"), _r(F.col("plain"), 9).alias("plain"))
+    return G.frame_confidence(table(spark, d, "events"), "user_id", "event_type", "value", pad="error").select("user_id", _r(F.col("confidence"), 4).alias("confidence"), _r(F.col("plain"), 4).alias("plain"))
 
 
 @query()

@@ -74,9 +74,10 @@ def embedding_input(df: DataFrame, column: str, order: str, most: int = 100_000,
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Run log, a JSON array or JSON lines; broken records are left out."""
-    d = spark.read.schema(LOG + ", _bad string").option("columnNameOfCorruptRecord", "_bad").option("mode", "PERMISSIVE").option("multiLine", True).json(path)
-    return d.filter("_bad is null").drop("_bad")
+    """Run log, files of a JSON array or of JSON lines; broken records, and those without a file name, are left out."""
+    value, whole = F.col("value"), spark.read.text(path, wholetext=True)
+    rows = F.when(F.ltrim(value).startswith("["), F.from_json(value, f"array<struct<{LOG.replace(' string', ':string')}>>")).otherwise(F.transform(F.split(value, "\n"), lambda x: F.from_json(x, LOG)))
+    return whole.select(F.explode(rows).alias("r")).select("r.*").filter("filename is not null")
 
 
 def read_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -22,7 +22,7 @@ def chunks(raw: DataFrame, mode: str = "live") -> DataFrame:
     """Chunk events (session_id, sequence, session_start, start_time, end_time, text) with an end, an event time and a segment id."""
     end = F.coalesce("end_time", F.col("start_time") + CHUNK_SECONDS[mode])
     d = raw.withColumn("end_time", end).withColumn("ts", F.timestamp_micros((F.unix_micros("session_start") + F.col("start_time") * 1_000_000).cast("long")))
-    return d.withColumn("segment_id", F.concat(F.lit("seg_"), F.format_number(F.col("start_time"), "0.00"), F.lit("_"), F.format_number("end_time", "0.00")))
+    return d.withColumn("segment_id", F.format_string("seg_%.2f_%.2f", "start_time", "end_time"))
 
 
 def two_phases(segments: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
