@@ -24,7 +24,7 @@ count.
    hubs of blocks come first, then all pairs that are left.
 4. Candidates of either step are intersected with the filters of the two plain orders:
    a pair whose prefixes, token by token, share none under one of them goes. Only then whole sets are
-   moved and compared; links give components.
+   compared; links give components.
 
 No link is lost by steps 2 to 4: only pairs already connected, or without a common
 prefix token under one of the orders, go unverified. Defined results: null, empty and
@@ -286,21 +286,19 @@ def sets_of(pairs: DataFrame, texts: DataFrame, classes: DataFrame, threshold: i
 
 
 def intersected(pairs: DataFrame, sets: DataFrame, orders: tuple[str, ...] = ("p2", "p3")) -> DataFrame:
-    """Those pairs (a, b) whose prefixes share a token under each of the plain orders."""
+    """(a, b, sa, sb) of those pairs (a, b) whose prefixes share a token under each of the plain orders, with their sets."""
     for side in ("b", "a"):
-        pairs = pairs.join(sets.select(F.col("sid").alias(side), *(F.col(p).alias(f"{p}_{side}") for p in orders)), side)
+        pairs = pairs.join(sets.select(F.col("sid").alias(side), F.col("body").alias(f"s{side}"), *(F.col(p).alias(f"{p}_{side}") for p in orders)), side)
     for p in orders:
         pairs = pairs.filter(F.arrays_overlap(f"{p}_a", f"{p}_b"))
-    return pairs.select("a", "b")
+    return pairs.select("a", "b", "sa", "sb")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """Those distinct pairs of classes (a, b) whose whole sets are similar enough."""
     sets = sets_of(pairs, texts, classes, threshold)
-    left = saved(intersected(pairs, sets), "intersected")
-    full = left.join(sets.select(F.col("sid").alias("b"), F.col("body").alias("sb")), "b").join(sets.select(F.col("sid").alias("a"), F.col("body").alias("sa")), "a")
-    out = saved(full.select("a", "b", "sa", "sb").mapInArrow(_linked(threshold), "a long, b long"), "links")
-    drop_saved(sets, left)
+    out = saved(intersected(pairs, sets).mapInArrow(_linked(threshold), "a long, b long"), "links")
+    drop_saved(sets)
     return out
 
 
