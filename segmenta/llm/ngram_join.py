@@ -3,8 +3,7 @@
 A text's set holds its distinct five-word shingles (48-bit hashes); equal sets are one
 class from the start. If two sets have a Jaccard similarity of at least t, then under
 every global order of the tokens the first n - ceil(t * n) + 1 tokens of each share
-one. Orders used: by rarity (the class of a token's count, then one of three hashes), by
-two plain hashes that know nothing of rarity, and by ten more of which only first tokens
+one. Orders used: by rarity (the class of a token's count, then a hash), by two plain hashes that know nothing of rarity, and by ten more of which only first tokens
 count.
 
 1. One pass over the texts gives every row its class, the first token under each
@@ -16,10 +15,8 @@ count.
    with. This joins dense groups along a few hubs: as many pairs as blocks have members,
    not all pairs.
 3. Exact step, for pairs of classes that are not connected yet: prefixes under the
-   first rarity order are joined, and a pair is a candidate if its lengths fit, the place
-   of the common token leaves room for enough common tokens, and the prefixes under the
-   two other rarity orders, as marks of 63 bits, overlap (which tells short texts apart
-   that share a frequent passage; long ones hardly). Blocks whose members are
+   rarity order are joined, and a pair is a candidate if its lengths fit and the place of
+   the common token leaves room for enough common tokens. Blocks whose members are
    all connected are left out, so a group of copies adds no pairs. Rounds between
    hubs of blocks come first, then all pairs that are left.
 4. Candidates of either step are intersected with the filters of the two plain orders:
@@ -142,7 +139,7 @@ def _count(bits: int) -> object:
 
 
 class Orders:
-    """The rarity orders: by the class of a token's count, then by one of three hashes."""
+    """The rarity order: by the class of a token's count, then by a hash."""
 
     def __init__(self, heavy: np.ndarray, klass: np.ndarray, repeated: np.ndarray, bits: int):
         self.heavy, self.klass, self.repeated, self.bits = heavy, klass, repeated, bits
@@ -180,7 +177,7 @@ def _prefixes(shared, threshold: int) -> object:
         orders = Orders(*shared.value)
         for batch in batches:
             seen: set[int] = set()
-            toks, sids, ns, places, b2, b3 = [], [], [], [], [], []
+            toks, sids, ns, places = [], [], [], []
             for _, _, data, offs in slices(batch.column(0)):
                 sets = list(shingle_sets(data, offs, SHINGLE))
                 sizes = [len(s) for s in sets]
@@ -189,7 +186,7 @@ def _prefixes(shared, threshold: int) -> object:
                 flat = np.concatenate(sets)
                 twice = orders.twice(flat)
                 base = orders.classes(flat) << U(58)
-                ranks = [base | (mix(flat + U(k)) >> U(6)) for k in (1, 2, 3)]
+                rank = base | (mix(flat + U(1)) >> U(6))
                 a = 0
                 for s, n in zip(sets, sizes, strict=True):
                     sid = set_id(s)
@@ -197,20 +194,17 @@ def _prefixes(shared, threshold: int) -> object:
                     if n and sid not in seen and twice[a:b].any():
                         seen.add(sid)
                         p = prefix_length(n, threshold)
-                        tops = [np.argpartition(r[a:b], p - 1)[:p] if p < n else np.arange(n) for r in ranks]
-                        first = tops[0][np.argsort(ranks[0][a:b][tops[0]])]
-                        marks = [int(np.bitwise_or.reduce(np.int64(1) << (s[t] % U(63)).astype(np.int64))) for t in tops[1:]]
+                        top = np.argpartition(rank[a:b], p - 1)[:p] if p < n else np.arange(n)
+                        first = top[np.argsort(rank[a:b][top])]
                         place = np.flatnonzero(twice[a:b][first])
                         toks.append(s[first[place]])
                         places.append(place)
                         sids.append(np.full(len(place), sid, np.int64))
                         ns.append(np.full(len(place), n, np.int32))
-                        b2.append(np.full(len(place), marks[0], np.int64))
-                        b3.append(np.full(len(place), marks[1], np.int64))
                     a = b
             if toks:
-                cols = [np.concatenate(x) for x in (toks, sids, ns, places, b2, b3)]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3].astype(np.int32)), pa.array(cols[4]), pa.array(cols[5])], ["tok", "sid", "n", "place", "b2", "b3"])
+                cols = [np.concatenate(x) for x in (toks, sids, ns, places)]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3].astype(np.int32))], ["tok", "sid", "n", "place"])
 
     return run
 
@@ -348,7 +342,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links, tried = [verified(near, texts, classes, threshold)], [near]
 
     # step 3: prefixes under the rarity orders, pairs of different components only
-    prefixes = saved(texts.select("text").mapInArrow(_prefixes(shared, threshold), "tok long, sid long, n int, place int, b2 long, b3 long").dropDuplicates(["tok", "sid"]), "prefixes")
+    prefixes = saved(texts.select("text").mapInArrow(_prefixes(shared, threshold), "tok long, sid long, n int, place int").dropDuplicates(["tok", "sid"]), "prefixes")
     for turn in range(HUB_ROUNDS + 1):
         label = components(_all(links))
         if turn:
@@ -358,14 +352,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         t = prefixes.join(label.withColumnsRenamed({"node": "sid", "root": "comp"}), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
         # hubs: of the least and greatest component at first, then drawn anew for each block
         rank = F.col("comp") if turn == 0 else F.xxhash64("sid", "tok", F.lit(turn))
-        member = F.struct(rank.alias("rank"), "comp", "sid", "n", "place", "b2", "b3")
+        member = F.struct(rank.alias("rank"), "comp", "sid", "n", "place")
         blocks = t.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(member).alias("first"), F.max(member).alias("last")).filter("lo < hi")
         if turn < HUB_ROUNDS:
             # each member against the block's first and last one
             mine = t.join(blocks.select("tok", F.array("first", "last").alias("hubs")), "tok").select("*", F.explode("hubs").alias("y"))
             x, y = mine, "y."
         else:
-            x = t.join(blocks.select("tok"), "tok", "left_semi").alias("x").join(t.select("tok", F.struct("comp", "sid", "n", "place", "b2", "b3").alias("y")), "tok")
+            x = t.join(blocks.select("tok"), "tok", "left_semi").alias("x").join(t.select("tok", F.struct("comp", "sid", "n", "place").alias("y")), "tok")
             y = "y."
         need = F.ceil((F.col("n") + F.col(y + "n")) * threshold / (100 + threshold) - 1e-9)
         room = F.least(F.col("n") - F.col("place"), F.col(y + "n") - F.col(y + "place"))  # at most so many tokens in common if this is the first
@@ -373,8 +367,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             (F.col("comp") < F.col(y + "comp") if turn == HUB_ROUNDS else F.col("comp") != F.col(y + "comp"))
             & (100 * F.least("n", y + "n") >= threshold * F.greatest("n", y + "n"))
             & ((room >= need) if turn == HUB_ROUNDS else F.lit(True))
-            & (F.col("b2").bitwiseAND(F.col(y + "b2")) != 0)
-            & (F.col("b3").bitwiseAND(F.col(y + "b3")) != 0)
         )
         pairs = saved(x.filter(fits).select(F.least("sid", y + "sid").alias("a"), F.greatest("sid", y + "sid").alias("b")).distinct().join(_all(tried), ["a", "b"], "left_anti"), "pairs")
         if not pairs.head(1):
