@@ -3,7 +3,9 @@
 A text is a row of sentences. A sentence ends with a word that ends in . ! or ? or
 that a line break follows; where LONG words pass without such an end, words whose
 hash is divisible by 4 end one too, so that also text without punctuation falls into
-the same sentences wherever it stands. From every sentence starts a span: the fewest
+the same sentences wherever it stands. After LIMIT words a sentence ends in any case:
+a run of one word that no hash ends would else be one sentence, equal only to runs of
+just its length. From every sentence starts a span: the fewest
 consecutive sentences, two at least, that hold MIN_WORDS words. Spans are hashed
 (words with A-Z lower-cased) and joined over all texts; of equal spans the first is
 the one with the smallest (doc_id, place), and the sentences of all others go. Text
@@ -36,6 +38,7 @@ from .textnp import LOWER, NOT_BLANK, U, mix, slices, word_hashes, words
 MIN_SENTENCES = 2
 MIN_WORDS = 16
 LONG = 12
+LIMIT = 24
 MAP_BITS = 27
 
 _STOP = np.zeros(256, bool)
@@ -60,6 +63,9 @@ def sentences(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     at = np.arange(n)
     prev = np.maximum.accumulate(np.where(np.append(True, stop[:-1]), at, 0))
     end = stop | ((at - prev >= LONG) & (h & U(3) == 0))
+    # words since the last end, whichever made it
+    prev = np.maximum.accumulate(np.where(np.append(True, end[:-1]), at, 0))
+    end |= (at - prev) % LIMIT == LIMIT - 1
     begin = np.append(0, np.flatnonzero(end) + 1)
     return h, starts, begin, np.searchsorted(begin, first)
 

@@ -511,6 +511,36 @@ def test_spans(spark, odd):
     assert (1, None) in same_rows and (2, "") in same_rows and len(same_rows) == 8
 
 
+def test_spans_in_runs_of_one_word(spark):
+    for word in ("a", "de", "oned", "thtion", "xyz"):
+        rows = [(1, "Own one. " + f"{word} " * 200), (2, "Other two. " + f"{word} " * 150)]
+        got = {r.doc_id: r.text for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got[1].startswith("Own one.") and len(got[1].split()) >= spans.MIN_WORDS
+        assert got[2].startswith("Other two.") and len(got[2].split()) < 2 + spans.LIMIT
+
+
+def test_sentences_word_by_word():
+    texts = ["", "  ", "One. Two three!\nFour five\nsix", "de " * 80, " ".join(f"w{i}" for i in range(400)), "End? " * 3 + "a b c " * 40 + "z."]
+    for _, _, data, offs in slices(pa.array(texts, pa.large_string())):
+        h, starts, begin, rows = spans.sentences(data, offs)
+        k, want, first = 0, [], [0]
+        for t in texts:
+            ws, size, plain = t.split(), 0, 0
+            breaks = [c.count("\n") > 0 for c in re.findall(r"\s+", t.strip())] + [True]
+            for w, brk in zip(ws, breaks, strict=False):
+                if not size:
+                    want.append(k)
+                size += 1
+                plain += 1
+                stop = w[-1] in ".!?" or brk
+                if stop or (plain > spans.LONG and int(h[k]) % 4 == 0) or size == spans.LIMIT:
+                    size = 0
+                plain = 0 if stop else plain
+                k += 1
+            first.append(len(want))
+        assert k == len(starts) and list(begin) == [*want, k] and list(rows) == first
+
+
 def test_spans_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     seen = defaultdict(list)
