@@ -36,7 +36,7 @@ from .store import ready, saved, tidied
 from .textnp import LOWER, NOT_BLANK, U, mix, slices, word_hashes, words
 
 MIN_SENTENCES = 2
-MIN_WORDS = 16
+MIN_WORDS = 24
 LONG = 12
 LIMIT = 24
 MAP_BITS = 27
