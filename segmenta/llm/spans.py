@@ -53,9 +53,9 @@ def sentences(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     h = word_hashes(low, starts, ends)
     if not n:
         return h, starts, np.zeros(1, np.int64), np.zeros(len(offs), np.int64)
-    breaks = np.append(0, np.cumsum(low == 0x0A))
+    breaks = np.flatnonzero(low == 0x0A)
     stop = _STOP[low[ends - 1]]
-    stop[:-1] |= breaks[starts[1:]] > breaks[ends[:-1]]
+    stop[:-1] |= np.searchsorted(breaks, starts[1:]) > np.searchsorted(breaks, ends[:-1])
     last = np.zeros(n, bool)
     last[first[1:][first[1:] > first[:-1]] - 1] = True
     stop |= last
@@ -112,26 +112,30 @@ def _hashes(repeated) -> object:
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, counts, gone = batch.column(1).to_pylist(), np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-        marks = batch.column(2)
-        for a, b, data, offs in slices(batch.column(1)):
-            _, starts, begin, rows = sentences(data, offs)
-            counts[a:b] = np.diff(rows)
-            for k in range(a, b):
-                if marks[k].is_valid and (m := marks[k].as_py()):
-                    lo, hi = rows[k - a], rows[k - a + 1]
-                    out = np.zeros(hi - lo, bool)
-                    for s in m:
-                        out[s["at"] : s["at"] + s["size"]] = True
-                    gone[k] = out.sum()
-                    # a sentence reaches from its first word to that of the next one; the first also has what stands before it
-                    edges = np.append(starts[begin[lo:hi]], offs[k - a + 1])
-                    edges[0] = offs[k - a]
-                    raw = data
-                    texts[k] = b"".join(raw[edges[s] : edges[s + 1]].tobytes() for s in np.flatnonzero(~out)).decode()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts), pa.array(gone)], ["id", "text", "n_sentences", "n_removed"])
+@tidied
+def _cut() -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, counts, gone = batch.column(1).to_pylist(), np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            marks = batch.column(2)
+            for a, b, data, offs in slices(batch.column(1)):
+                _, starts, begin, rows = sentences(data, offs)
+                counts[a:b] = np.diff(rows)
+                for k in range(a, b):
+                    if marks[k].is_valid and (m := marks[k].as_py()):
+                        lo, hi = rows[k - a], rows[k - a + 1]
+                        out = np.zeros(hi - lo, bool)
+                        for s in m:
+                            out[s["at"] : s["at"] + s["size"]] = True
+                        gone[k] = out.sum()
+                        # a sentence reaches from its first word to that of the next one; the first also has what stands before it
+                        edges = np.append(starts[begin[lo:hi]], offs[k - a + 1])
+                        edges[0] = offs[k - a]
+                        raw = data
+                        texts[k] = b"".join(raw[edges[s] : edges[s + 1]].tobytes() for s in np.flatnonzero(~out)).decode()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts), pa.array(gone)], ["id", "text", "n_sentences", "n_removed"])
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,7 +154,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     later = again.join(firsts, "span").filter(place != F.col("first")).select(F.col("id").alias("i2"), F.col("h").alias("h2"), F.struct("at", "size").alias("s"))
     later = later.groupBy("i2", "h2").agg(F.collect_set("s").alias("spans"))
     out = d.join(later, (F.col("id") == F.col("i2")) & (F.col("h") == F.col("h2")), "left").select("id", "text", "spans")
-    return out.mapInArrow(_cut, "id long, text string, n_sentences long, n_removed long").withColumnRenamed("id", id_col)
+    return out.mapInArrow(_cut(), "id long, text string, n_sentences long, n_removed long").withColumnRenamed("id", id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
