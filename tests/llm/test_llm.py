@@ -331,6 +331,22 @@ def test_lm_empty_and_repeated(spark, none):
         assert {r.train_tokens for r in got} == ({0} if held else {7})
 
 
+def test_lm_learns_alike_at_every_size(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"word{i * j % 17} of{j}" for j in range(30))) for i in range(40)], "doc_id long, text string")
+    once = {r.doc_id: r.score for r in lm.score_texts(docs).collect()}
+    # the size at which learning was switched to fewer rounds before
+    monkeypatch.setattr(lm, "SMALL_BYTES", 0, raising=False)
+    assert {r.doc_id: r.score for r in lm.score_texts(docs).collect()} == once
+
+
+def test_lm_reads_wide_rows_in_small_batches(spark, monkeypatch):
+    read, seen, saved = "spark.sql.parquet.columnarReaderBatchSize", [], lm.saved
+    monkeypatch.setattr(lm, "saved", lambda df, name: seen.append(int(spark.conf.get(read))) or saved(df, name))
+    before = spark.conf.get(read)
+    lm.score_texts(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"))
+    assert seen and max(seen) * lm.BLOCK_BYTES <= 32 << 20 and spark.conf.get(read) == before
+
+
 def test_lm_all_held_out(spark):
     held = [i for i in range(200) if crc32(str(i).encode()) % 10 == 0]
     got = lm.score_texts(spark.createDataFrame([(i, "some words here") for i in held], "doc_id long, text string")).collect()
