@@ -127,11 +127,12 @@ def aligned(segments: DataFrame, lines: DataFrame, seg: str, line: str, seg_id:
     return s.select(seg_id).join(best, seg_id, "left").withColumn("action", F.when(F.col("score") >= force_at, "force").when(F.col("score").isNotNull(), "suggest").otherwise("none"))
 
 
-def similar(queries: DataFrame, vectors: DataFrame, score: Column, k: int, excluded: Column, shared_keywords: Column, over: int = 3, boost: float = 0.05) -> DataFrame:
-    """The k nearest of the over * k nearest that are not excluded; the score shown is raised for shared keywords, the rank is not."""
+def similar(queries: DataFrame, vectors: DataFrame, score: Column | None, k: int, excluded: Column, shared_keywords: Column, over: int = 3, boost: float = 0.05) -> DataFrame:
+    """The k nearest of the over * k nearest that are not excluded; the score shown is raised for shared keywords, the rank is not. Without a score: by cosine."""
     from .joins import nearest
+    from .vectors import cosine_nearest
 
-    near = nearest(queries, vectors, score, over * k).filter(~excluded)
+    near = (cosine_nearest(queries, vectors, over * k) if score is None else nearest(queries, vectors, score, over * k)).filter(~excluded)
     near = near.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy("rank"))).filter(F.col("place") <= k)
     return near.withColumn("shown", F.round(F.least(F.lit(1.0), F.col("score") + boost * shared_keywords), 6))
 
