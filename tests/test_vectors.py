@@ -29,7 +29,7 @@ def test_cosine_nearest_equals_all_pairs(spark, monkeypatch, k):
     assert _listed(V.cosine_nearest(q, v, k)) == _listed(want)
 
 
-@pytest.mark.parametrize("name", ["knn_cosine", "knn_contrast", "knn_boosted"])
+@pytest.mark.parametrize("name", ["knn_cosine", "knn_contrast", "knn_boosted", "combined_search"])
 def test_pairs_are_no_rows_of_a_join(spark, name):
     plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "zip_with" not in plan
