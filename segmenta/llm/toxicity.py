@@ -7,7 +7,7 @@ texts; its feature is r times its count over the square root of the text's numbe
 distinct words, and a logistic regression with an L2 penalty weighs these features.
 As the score is a sum over words, a word's part is computed once and kept.
 
-The classifier is fitted on the driver on at most TRAIN_ROWS labelled texts, those
+The classifier is fitted in one task on at most TRAIN_ROWS labelled texts, those
 with the smallest hashes of their ids; every text is scored in full. Defined results:
 null, empty and wordless texts get the score of the bias alone; a label of null is no
 label; an id with several labels counts as toxic if one of them says so; with no
@@ -177,6 +177,19 @@ def _scorer(shared) -> object:
     return run
 
 
+@tidied
+def _fitted() -> object:
+    """The model of all rows (h, y, text) of one task, whose worker has the room that the driver lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)), key=lambda r: r[:2])
+        if found:
+            model = fit([r[2] for r in found], np.array([r[1] for r in found]))
+            yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([float(model.bias)])], ["weights", "bias"])
+
+    return run
+
+
 def held_out(id_col: str, folds: int = 5) -> F.Column:
     """Whether a row's id falls into the fold that no training sees."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == 0, F.lit(False))
@@ -189,14 +202,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     ids = marks.select("doc_id", "y", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(rows).collect()
     if not ids:
         return fit([], np.zeros(0))
-    spark = docs.sparkSession
+    spark = ready(docs.sparkSession)
     some = spark.createDataFrame([(r.doc_id, int(r.y)) for r in ids], "mark_id long, y int")
     got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), F.col("doc_id") == F.col("mark_id")).select("doc_id", "y", "text", F.octet_length("text").alias("n"), F.xxhash64("doc_id", "text").alias("h"))
     total = got.agg(F.sum("n")).first()[0] or 0
     if total > TRAIN_BYTES:
         got = got.filter(F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * TRAIN_BYTES / total))
-    found = sorted(got.select("h", "y", "text").collect(), key=lambda r: (r.h, r.y))
-    return fit([r.text for r in found], np.array([r.y for r in found]))
+    found = got.select("h", "y", "text").repartition(1).mapInArrow(_fitted(), "weights binary, bias double").collect()
+    return Model(np.frombuffer(found[0].weights), found[0].bias) if found else fit([], np.zeros(0))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
