@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .graph import components
-from .store import drop_saved, ready, saved, tidied
+from .store import drop_saved, ready, saved, shuffles_dropped, tidied
 from .textnp import U, mix, set_id, shingle_sets, slices
 
 SHINGLE = 5
@@ -271,10 +271,9 @@ def sets_of(pairs: DataFrame, texts: DataFrame, classes: DataFrame, threshold: i
     low = (1 << NEED_BITS) - 1
     both = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
     both = classes.select("sid", "h").join(both, "sid", "left_semi").select(F.col("h").bitwiseAND(low).alias("i"))
-    words = both.groupBy(F.shiftright("i", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i & 63 as int))")).alias("m")).collect()
+    words = both.groupBy(F.shiftright("i", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(i & 63 as int))")).alias("m")).toArrow()
     need = np.zeros(1 << (NEED_BITS - 6), np.int64)
-    for r in words:
-        need[r.w] = r.m
+    need[words.column("w").to_numpy()] = words.column("m").to_numpy()
     shared = spark.sparkContext.broadcast(need)
     return saved(texts.mapInArrow(_needed(shared, threshold), "sid long, body binary, p2 array<int>, p3 array<int>").dropDuplicates(["sid"]), "sets")
 
@@ -298,7 +297,12 @@ def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, threshold:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, heavy: int = HEAVY) -> DataFrame:
     """id_col, n_shingles, component_id, text_hash, group_hash (the least class of the component) for every row; see the module's text."""
-    spark = ready(docs.sparkSession)
+    with shuffles_dropped(ready(docs.sparkSession)):
+        return _jaccard_components(docs, id_col, text_col, threshold, heavy)
+
+
+def _jaccard_components(docs: DataFrame, id_col: str, text_col: str, threshold: int, heavy: int) -> DataFrame:
+    spark = docs.sparkSession
     sc = spark.sparkContext
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("id is not null").withColumn("h", F.xxhash64("text"))
     n_bytes = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -8,6 +8,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
@@ -451,6 +452,30 @@ def test_toxicity(spark, odd):
     assert {r.predicted for r in toxicity.classify(odd, empty).collect()} == {0}
 
 
+def test_toxicity_is_not_fitted_on_the_driver(spark, monkeypatch):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    want = {}
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: want.setdefault("rows", len(texts)) and fit(texts, y))
+    model = toxicity.train(docs, labels)
+    assert not want and model.weights.any()
+
+
+def test_shuffle_files_go_with_their_job(spark):
+    from segmenta.llm import store
+
+    before = spark.conf.get(store._DROP)
+    with store.shuffles_dropped(spark):
+        assert spark.conf.get(store._DROP) == "true"
+        store.saved(spark.range(1000).repartition(7, "id"), "dealt")
+        files = [f for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for f in Path(d.toString()).rglob("shuffle_*.data")]
+    last = max((int(f.name.split("_")[1]) for f in files), default=-1)
+    with store.shuffles_dropped(spark):
+        store.saved(spark.range(1000).repartition(7, "id"), "dealt")
+        files = [f for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for f in Path(d.toString()).rglob("shuffle_*.data")]
+    assert max((int(f.name.split("_")[1]) for f in files), default=-1) == last and spark.conf.get(store._DROP) == before
+
+
 def test_pages():
     grown = html_text.tree()
     page = "<body><header>Site</header><div class='cookie-notice'>We use cookies</div><main><h1>T &amp; x</h1><p>One <a href=x>two</a> three<p>Four<aside>no</aside><form>no <input></form><section id='comments'><p>first!</section></main><script>if(a<b){'</p>'}</script><footer>f</footer>"
