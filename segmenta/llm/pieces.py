@@ -40,7 +40,8 @@ RANK_SHIFT = 2.7
 SPACE = 0x2581
 #: stands for a U+2581 of the text itself, which is no space
 _ESCAPED = 0x10FFFF + 1
-SLICE = 1 << 20
+#: bytes of text whose lattices a worker holds at once, at about 140 bytes for each
+SLICE = 1 << 18
 
 _B = 0x5851F42D4C957F2D
 _BI = pow(_B, -1, 1 << 64)

@@ -6,9 +6,11 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
+from types import SimpleNamespace
 from zlib import crc32
 
 import numpy as np
@@ -444,6 +446,28 @@ def test_pieces_distribution_and_round_trip(spark, odd, none):
     assert got.repartition(5).orderBy("doc_id", "n_pieces").collect() == pieces.encode(odd.repartition(3)).orderBy("doc_id", "n_pieces").collect()
 
 
+def test_pieces_worker_memory(monkeypatch):
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    texts = [" ".join("".join(w) for w in rng.choice(letters, (60, 9))) for _ in range(2500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2500), pa.int64()), pa.array(texts)], ["id", "text"])
+    shared = SimpleNamespace(value=pieces.Vocabulary.load(pieces.MODEL))
+
+    def ids() -> list:
+        return [x for b in pieces._encoder(shared, pieces.ALPHA, pieces.SEED)(iter([batch])) for x in b.column(1).to_pylist()]
+
+    ids()  # tables of powers stay
+    tracemalloc.start()
+    got = sum(b.num_rows for b in pieces._encoder(shared, pieces.ALPHA, pieces.SEED)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # two workers and a full heap share an executor
+    assert got == 2500 and peak < 96 << 20
+    small = ids()
+    monkeypatch.setattr(pieces, "SLICE", 1 << 20)
+    assert small == ids()
+
+
 def test_toxicity(spark, odd):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = toxicity.classify(docs, labels).join(labels, "doc_id").filter("held_out").collect()
