@@ -43,25 +43,46 @@ _ESCAPED = 0x10FFFF + 1
 #: bytes of text whose lattices a worker holds at once, at about 140 bytes for each
 SLICE = 1 << 18
 
+#: bits of a character in a key of the vocabulary's tree, and of the slots that keys are found by
+CHAR_BITS, SLOT_BITS = 21, 18
+
 _B = 0x5851F42D4C957F2D
 _BI = pow(_B, -1, 1 << 64)
 
 
+def _slots(key: np.ndarray) -> np.ndarray:
+    return ((key.view(U) * U(0x9E3779B97F4A7C15)) >> U(64 - SLOT_BITS)).astype(np.int64)
+
+
 class Vocabulary:
-    """Pieces by the hash of their characters, and the bytes that each id decodes to."""
+    """Pieces as a tree of their characters, and the bytes that each id decodes to."""
 
     def __init__(self, pieces: list[str], kinds: list[int], ranks: np.ndarray):
         """kinds: 0 normal, 1 byte, 2 neither."""
         normal = [i for i, k in enumerate(kinds) if k == 0 and pieces[i]]
-        chars = np.frombuffer("".join(pieces[i] for i in normal).encode("utf-32-le"), np.uint32)
-        size = np.array([len(pieces[i]) for i in normal], np.int64)
-        self.longest = int(size.max(initial=1))
-        ends = np.cumsum(size)
-        h = _range_hashes(_prefix(chars), ends - size, ends)
-        order = np.argsort(h)
-        self.keys, self.ids, self.rank = h[order], np.array(normal)[order], ranks[normal][order]
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.keys >> U(44)).astype(np.int64)] = True
+        self.longest = max((len(pieces[i]) for i in normal), default=1)
+        self.ids, self.rank = np.array(normal, np.int64), ranks[normal]
+        # states of the tree are beginnings of pieces, 0 the empty one
+        tree: dict[int, int] = {}
+        piece = [-1]
+        for n, i in enumerate(normal):
+            state = 0
+            for c in pieces[i]:
+                state = tree.setdefault(state << CHAR_BITS | ord(c), len(tree) + 1)
+                if state == len(piece):
+                    piece.append(-1)
+            if piece[state] < 0:
+                piece[state] = n
+        #: the piece that a state is, or -1; whether longer pieces begin with it
+        self.piece = np.array(piece, np.int64)
+        self.longer = np.zeros(len(piece), bool)
+        keys = np.array(list(tree), np.int64)
+        self.longer[keys >> CHAR_BITS] = True
+        slot = _slots(keys)
+        order = np.argsort(slot, kind="stable")
+        self.keys, self.to = np.append(keys[order], -1), np.append(np.array(list(tree.values()), np.int64)[order], 0)
+        many = np.bincount(slot, minlength=1 << SLOT_BITS)
+        self.first, self.shared = (np.cumsum(many) - many).astype(np.int32), many > 1
         self.byte_ids = np.zeros(256, np.int64)
         decoded = []
         for i, p in enumerate(pieces):
@@ -71,7 +92,7 @@ class Vocabulary:
             else:
                 decoded.append(p.replace(chr(SPACE), " ").encode() if kinds[i] == 0 else b"")
         self.size = np.array([len(b) for b in decoded])
-        self.first = np.cumsum(self.size) - self.size
+        self.start = np.cumsum(self.size) - self.size
         self.flat = np.frombuffer(b"".join(decoded), np.uint8)
         self.byte_rank = float(len(pieces))
 
@@ -86,18 +107,24 @@ class Vocabulary:
         # a merge's score is minus its rank; pieces outside the order of merges count as the rarest
         return Vocabulary([p.id_to_piece(i) for i in range(n)], kinds, np.where(score > -n, -score, n))
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Index of each hash among the keys, or -1."""
-        out = np.full(len(h), -1, np.int64)
-        at = np.flatnonzero(self.bits[(h >> U(44)).astype(np.int64)])
-        i = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
-        ok = self.keys[i] == h[at]
-        out[at[ok]] = i[ok]
-        return out
+    def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The state that each state's next character leads to, or 0 where no piece goes on so."""
+        key = state << CHAR_BITS | char
+        slot = _slots(key)
+        i = self.first[slot].astype(np.int64)
+        hit = self.keys[i] == key
+        # slots that several keys share
+        miss = np.flatnonzero(self.shared[slot] & ~hit)
+        while len(miss):
+            i[miss] += 1
+            found = self.keys[i[miss]]
+            hit[miss[found == key[miss]]] = True
+            miss = miss[(found != key[miss]) & (found >= 0) & (_slots(found) == slot[miss])]
+        return np.where(hit, self.to[i], 0)
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         size = self.size[ids]
-        at = np.repeat(self.first[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        at = np.repeat(self.start[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         return self.flat[at]
 
 
@@ -120,82 +147,113 @@ def _range_hashes(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Lattices:
-    """Edges of all given units (concatenated characters), in the order of their ends, with drawing odds."""
+    """Edges of all given units (concatenated characters), in the order of their ends, with drawing odds.
+
+    Nodes are places between characters, numbered by place in the unit, so that all units
+    move on together, and longer units first: the units that have a place are the first
+    ones of those that have the place before, and the next node is a column's width away.
+    """
 
     def __init__(self, v: Vocabulary, chars: np.ndarray, bounds: np.ndarray, alpha: float | None):
-        n = len(chars)
         size = np.diff(bounds)
-        place = np.arange(n) - np.repeat(bounds[:-1], size) + 1
-        c = _prefix(chars)
-        ends, lens, ids, logs = [], [], [], []
-        pos = np.arange(1, n + 1, dtype=np.int32)
+        self.units = m = len(size)
+        by_size = np.argsort(-size, kind="stable")
+        width = m - np.cumsum(np.append(0, np.bincount(size)))
+        # units with at least so many characters, all for 0; none beyond the longest
+        width[0] = m
+        width = width[: int(size.max(initial=0)) + 2]
+        base = np.append(0, np.cumsum(width))
+        n = int(base[-1])
+        self.place = np.repeat(np.arange(len(width)), width)
+        unit = np.arange(n) - base[self.place]
+        self.last = np.empty(m, np.int64)
+        self.last[by_size] = base[size[by_size]] + np.arange(m)
+        # the character before each node
+        char = np.zeros(n, np.int64)
+        char[m:] = chars[bounds[by_size][unit[m:]] + self.place[m:] - 1]
+        on = unit < width[self.place + 1] if n else np.zeros(0, bool)
+        step = width[self.place]
+        del unit
         scale = 1.0 if alpha is None else alpha
+        weight = -scale * np.log(v.rank + RANK_SHIFT)
+        begins, ends, ids, logs = [], [], [], []
+        many = np.zeros(n, np.int64)
+        at = end = np.flatnonzero(on)
+        state = np.zeros(len(at), np.int64)
         for k in range(1, v.longest + 1):
-            at = pos[place >= k]
             if not len(at):
                 break
-            i = v.find(_range_hashes(c, at - k, at))
+            end = end + step[end]
+            state = v.step(state, char[end])
+            i = v.piece[state]
             hit = i >= 0
             if k == 1:
                 # whatever no piece has is coded by bytes
-                i1, utf = v.ids[np.maximum(i, 0)], chars[at - 1]
+                utf = char[end]
                 n_bytes = 1 + (utf > 0x7F) + (utf > 0x7FF) + (utf > 0xFFFF)
                 n_bytes = np.where(utf == _ESCAPED, 3, n_bytes)
-                ends.append(at)
-                lens.append(np.full(len(at), 1, np.int16))
-                ids.append(np.where(hit, i1, -1 - utf.astype(np.int64)).astype(np.int32))
-                logs.append(np.where(hit, -scale * np.log(v.rank[np.maximum(i, 0)] + RANK_SHIFT), -scale * n_bytes * np.log(v.byte_rank + RANK_SHIFT)))
+                begins.append(at.astype(np.int32))
+                ends.append(end.astype(np.int32))
+                ids.append(np.where(hit, v.ids[i], -1 - utf).astype(np.int32))
+                logs.append(np.where(hit, weight[i], -scale * n_bytes * np.log(v.byte_rank + RANK_SHIFT)))
             else:
-                at, i = at[hit], i[hit]
-                ends.append(at)
-                lens.append(np.full(len(at), k, np.int16))
+                i = i[hit]
+                begins.append(at[hit].astype(np.int32))
+                ends.append(end[hit].astype(np.int32))
                 ids.append(v.ids[i].astype(np.int32))
-                logs.append(-scale * np.log(v.rank[i] + RANK_SHIFT))
-        del c, pos
-        end = np.concatenate(ends)
-        # by place in the unit, so that all units move on together; then by end
-        order = np.lexsort((end, place[end - 1])).astype(np.int32)
-        self.end, self.len, self.id, log = end[order], np.concatenate(lens)[order], np.concatenate(ids)[order], np.concatenate(logs)[order]
-        del end, order, ends, lens, ids, logs
-        first = np.flatnonzero(np.concatenate(([True], self.end[1:] != self.end[:-1])))
-        self.begin = np.zeros(n + 2, np.int64)
-        self.begin[self.end[first]] = first
-        many = np.diff(np.append(first, len(self.end)))
-        forward = np.zeros(n + 1)
-        groups = place[self.end[first] - 1]
-        self.odds = np.empty(len(self.end))
-        cut = np.append(np.searchsorted(groups, np.arange(1, groups.max(initial=0) + 1)), len(first))
-        # an edge as long as its end's place starts at the unit's start, whose sum of weights is 1
-        for g in range(len(cut) - 1):
-            a, b = cut[g], cut[g + 1]
-            lo, hi = first[a], first[b - 1] + many[b - 1]
-            back = self.end[lo:hi] - self.len[lo:hi]
-            x = log[lo:hi] + np.where(self.len[lo:hi] == g + 1, 0.0, forward[back])
-            at = first[a:b] - lo
+                logs.append(weight[i])
+            many[ends[-1]] += 1
+            live = np.flatnonzero(v.longer[state] & (state > 0) & on[end])
+            at, end, state = at[live], end[live], state[live]
+        del at, end, state, char, step, on
+        #: first edge of each node; edges that end at a node are in the order of their lengths
+        self.begin = np.append(0, np.cumsum(many))
+        self.back = np.empty(self.begin[-1], np.int32)
+        self.id = np.empty(self.begin[-1], np.int32)
+        log = np.empty(self.begin[-1])
+        free = self.begin[:-1].copy()
+        while ends:
+            e = ends.pop(0)
+            to = free[e]
+            free[e] = to + 1
+            self.back[to], self.id[to], log[to] = begins.pop(0), ids.pop(0), logs.pop(0)
+        del free
+        forward = np.zeros(n)
+        self.odds = np.empty(len(log))
+        # the sum of weights at a unit's start is 1
+        for g in range(1, len(width) - 1):
+            a, b = base[g], base[g + 1]
+            lo, hi = self.begin[a], self.begin[b]
+            x = log[lo:hi] + forward[self.back[lo:hi]]
+            at = self.begin[a:b] - lo
             top = np.maximum.reduceat(x, at)
             if alpha is None:
                 # the best edge, the longest of equals, is drawn surely
                 best = x == np.repeat(top, many[a:b])
-                longest = np.maximum.reduceat(np.where(best, self.len[lo:hi], 0), at)
-                self.odds[lo:hi] = best & (self.len[lo:hi] == np.repeat(longest, many[a:b]))
-                forward[self.end[first[a:b]]] = top
+                size = np.where(best, g - self.place[self.back[lo:hi]], 0)
+                self.odds[lo:hi] = best & (size == np.repeat(np.maximum.reduceat(size, at), many[a:b]))
+                forward[a:b] = top
                 continue
             y = np.exp(x - np.repeat(top, many[a:b]))
             total = np.add.reduceat(y, at)
             self.odds[lo:hi] = y / np.repeat(total, many[a:b])
-            forward[self.end[first[a:b]]] = top + np.log(total)
+            forward[a:b] = top + np.log(total)
         # running sums of odds within each end
-        run = np.cumsum(self.odds)
-        self.odds = run - np.repeat(run[first] - self.odds[first], many)
-        self.odds[first + many - 1] = 2.0
-
-    def draw(self, end: np.ndarray, begin: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(occurrence, id) of the pieces of units that end at end, each unit's pieces in order."""
-        occ, at = np.arange(len(end)), end.copy()
+        e = self.begin[:-1][many > 1] + 1
+        left = many[many > 1] - 1
+        while len(e):
+            self.odds[e] += self.odds[e - 1]
+            more = np.flatnonzero(left > 1)
+            e, left = e[more] + 1, left[more] - 1
+        self.odds[self.begin[1:][many > 0] - 1] = 2.0
+
+    def draw(self, unit: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(occurrence, id) of the pieces of units, each unit's pieces in order."""
+        occ, at = np.arange(len(unit)), self.last[unit]
         steps: list[tuple[np.ndarray, np.ndarray]] = []
-        taken = np.zeros(len(end), np.int64)
+        taken = np.zeros(len(unit), np.int64)
         while len(occ):
-            u = (mix(key[occ] + (at - begin[occ]).astype(U) * U(0x9E3779B97F4A7C15)) >> U(11)).astype(np.float64) / (1 << 53)
+            u = (mix(key[occ] + self.place[at].astype(U) * U(0x9E3779B97F4A7C15)) >> U(11)).astype(np.float64) / (1 << 53)
             e = self.begin[at]
             more = np.flatnonzero(self.odds[e] <= u)
             while len(more):
@@ -203,14 +261,14 @@ class Lattices:
                 more = more[self.odds[e[more]] <= u[more]]
             steps.append((occ, self.id[e]))
             taken[occ] += 1
-            at = at - self.len[e]
-            live = at > begin[occ]
+            at = self.back[e]
+            live = at >= self.units
             occ, at = occ[live], at[live]
         stop = np.cumsum(taken)
         out = np.empty(int(stop[-1]) if len(stop) else 0, np.int64)
         for t, (o, ids) in enumerate(steps):
             out[stop[o] - 1 - t] = ids
-        return np.repeat(np.arange(len(end)), taken), out
+        return np.repeat(np.arange(len(unit)), taken), out
 
 
 def encode_slice(v: Vocabulary, data: np.ndarray, offs: np.ndarray, keys: np.ndarray, alpha: float | None = ALPHA, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -238,7 +296,7 @@ def encode_slice(v: Vocabulary, data: np.ndarray, offs: np.ndarray, keys: np.nda
     unit_row = np.searchsorted(rows, a, "right") - 1
     number = np.arange(len(a)) - np.searchsorted(a, rows)[unit_row]
     key = mix(mix(keys.astype(np.int64).view(U)[unit_row] + U(seed)) + number.astype(U) * U(0xD6E8FEB86659FD93))
-    occ, ids = lat.draw(bounds[1:][inv], bounds[:-1][inv], key)
+    occ, ids = lat.draw(inv, key)
     coded = np.flatnonzero(ids < 0)
     if len(coded):
         points = -1 - ids[coded]

@@ -468,6 +468,43 @@ def test_pieces_worker_memory(monkeypatch):
     assert small == ids()
 
 
+def test_pieces_odds_do_not_depend_on_other_units():
+    v = pieces.Vocabulary.load(pieces.MODEL)
+    rng = np.random.default_rng(6)
+    units = [chr(pieces.SPACE) + "".join(w) for w in rng.choice(list("abcdefghij"), (2000, 7))]
+
+    def built(some: list[str]) -> pieces.Lattices:
+        chars = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32)
+        return pieces.Lattices(v, chars, np.append(0, np.cumsum([len(u) for u in some])), pieces.ALPHA)
+
+    alone, among = np.concatenate([np.sort(built([u]).odds) for u in units]), built(units).odds
+    assert np.array_equal(np.sort(alone), np.sort(among))
+
+
+def test_pieces_look_up_beginnings_of_pieces_only(spark, monkeypatch):
+    v = pieces.Vocabulary.load(pieces.MODEL)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if r.text]
+    units = sorted({chr(pieces.SPACE) + w for t in texts for w in t.split(" ") if w})
+    asked = []
+    for name in ("step", "find"):
+        if hasattr(v, name):
+            own = getattr(v, name)
+            monkeypatch.setattr(v, name, lambda *a, own=own: asked.append(len(a[-1])) or own(*a))
+    pieces.Lattices(v, np.frombuffer("".join(units).encode("utf-32-le"), np.uint32), np.append(0, np.cumsum([len(u) for u in units])), pieces.ALPHA)
+    # all parts of up to 16 characters before
+    every = sum(max(0, len(u) - k + 1) for u in units for k in range(1, v.longest + 1))
+    known = {p[:k] for p in _piece_texts(v) for k in range(1, len(p) + 1)}
+    some = sum(u[a : a + k - 1] in known for u in units for a in range(len(u)) for k in range(2, min(v.longest, len(u) - a) + 1)) + sum(map(len, units))
+    assert sum(asked) <= some < 0.8 * every
+
+
+def _piece_texts(v: pieces.Vocabulary) -> list[str]:
+    import sentencepiece
+
+    p = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    return [p.id_to_piece(i) for i in v.ids.tolist()]
+
+
 def test_toxicity(spark, odd):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = toxicity.classify(docs, labels).join(labels, "doc_id").filter("held_out").collect()
